@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from quillspark.llm.line_dedup import OP7_SQL, op7_query
+from quillspark.llm.quality_classifier import op3_query
 
 
 def queries() -> dict:
-    return {"op7_line_dedup": op7_query}
+    return {
+        "op3_quality_classifier": op3_query,
+        "op7_line_dedup": op7_query,
+    }
 
 
 def oracle_sql() -> dict:
