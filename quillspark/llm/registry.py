@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillspark.llm.line_dedup import OP7_SQL, op7_query
+from quillspark.llm.near_dedup import op9_query
 from quillspark.llm.quality_classifier import op3_query
 
 
@@ -10,6 +11,7 @@ def queries() -> dict:
     return {
         "op3_quality_classifier": op3_query,
         "op7_line_dedup": op7_query,
+        "op9_near_dedup": op9_query,
     }
 
 
