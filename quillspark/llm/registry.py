@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from quillspark.llm.byte_bpe import op10_query
 from quillspark.llm.line_dedup import OP7_SQL, op7_query
+from quillspark.llm.mixing import op2_query
 from quillspark.llm.near_dedup import op9_query
 from quillspark.llm.quality_classifier import op3_query
 
 
 def queries() -> dict:
     return {
+        "op2_mixing": op2_query,
         "op3_quality_classifier": op3_query,
         "op7_line_dedup": op7_query,
         "op9_near_dedup": op9_query,
+        "op10_byte_bpe": op10_query,
     }
 
 
