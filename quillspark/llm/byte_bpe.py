@@ -13,38 +13,47 @@ from pyspark.sql import functions as F
 from quillspark.llm._common import load
 
 #: Distinct words that a task keeps encoded, twice over (recent ones and the generation before).
-CACHE_WORDS = 150_000
+CACHE_WORDS = 250_000
 #: Characters of text that a task splits at a time; a longer document goes alone.
 SLICE_CHARS = 3_000_000
 
 #: Rows (w, p, t): token t at position p of word w. Each round pairs every token with the next, looks the pairs up in
-#: the merge table and contracts the pairs that have the word's least rank: the leftmost first, then every further
-#: one that doesn't overlap one taken (in a run of touching pairs every second). A word without pairs is done.
-ENCODE = """
+#: the merge table and contracts pairs that have the word's least rank. A word without pairs is done. {taken} says
+#: which of the least pairs are contracted.
+_ENCODE = """
 WITH RECURSIVE s(w, p, t, live) AS (
   SELECT w, p, t, true FROM words
   UNION ALL
   SELECT w, p, t, live FROM (
     WITH pairs AS MATERIALIZED (
       SELECT n.w, n.p, n.t, n.np, n.i, m.k
-      FROM (SELECT w, p, t, lead(t) OVER o AS nt, lead(p) OVER o AS np, row_number() OVER o AS i
-            FROM s WHERE live WINDOW o AS (PARTITION BY w ORDER BY p)) n
-      LEFT JOIN merges m ON m.lr = n.t::BIGINT * 16777216 + n.nt
-    ), least AS (
-      SELECT w, min(k) AS k FROM pairs WHERE k IS NOT NULL GROUP BY w
-    ), hits AS (
-      SELECT w, p, np, k, i - row_number() OVER (PARTITION BY w ORDER BY i) AS run, i
-      FROM pairs SEMI JOIN least USING (w, k)
-    ), taken AS (
-      SELECT w, p, np, k FROM (SELECT *, min(i) OVER (PARTITION BY w, run) AS i0 FROM hits) WHERE (i - i0) % 2 = 0
-    )
-    SELECT x.w, x.p, coalesce(h.k, x.t) AS t, l.w IS NOT NULL AS live, g.np IS NOT NULL AS gone
-    FROM pairs x LEFT JOIN least l ON l.w = x.w LEFT JOIN taken h ON h.w = x.w AND h.p = x.p LEFT JOIN taken g ON g.w = x.w AND g.np = x.p
+      FROM (SELECT w, p, t, lead(t) OVER o AS nt, lead(p) OVER o AS np, lead(w) OVER o AS nw, {i} AS i
+            FROM s WHERE live WINDOW o AS (ORDER BY w::BIGINT * 4294967296 + p)) n
+      LEFT JOIN merges m ON m.lr = CASE WHEN n.nw = n.w THEN n.t::BIGINT * 16777216 + n.nt END
+    ), {taken}
+    SELECT x.w, x.p, coalesce(h.k, x.t) AS t, l.w IS NOT NULL AS live, g.w IS NOT NULL AS gone
+    FROM pairs x LEFT JOIN least l ON l.w = x.w
+    LEFT JOIN taken h ON h.w = x.w AND h.p = x.p LEFT JOIN taken g ON g.w = x.w AND g.np = x.p
   ) WHERE NOT gone
 )
 SELECT s.w, list(s.t ORDER BY s.p) AS ids, string_agg(v.hex, '' ORDER BY s.p) AS hex
 FROM s JOIN vocabulary v ON v.t = s.t WHERE NOT live GROUP BY s.w
 """
+#: Only the leftmost pair of the least rank.
+ENCODE = _ENCODE.format(i="0", taken="""least AS (
+      SELECT w, arg_min({{'k': k, 'p': p, 'np': np}}, k::BIGINT * 4294967296 + p) AS b FROM pairs WHERE k IS NOT NULL GROUP BY w
+    ), taken AS (SELECT w, b.k AS k, b.p AS p, b.np AS np FROM least)""".replace("{{", "{").replace("}}", "}"))
+#: The leftmost, and every further one that doesn't overlap one taken: of a run of touching pairs every second. This
+#: is the same as taking them one by one, since what a contraction makes ranks above it; long words need fewer rounds.
+ENCODE_LONG = _ENCODE.format(i="row_number() OVER o", taken="""least AS (
+      SELECT w, min(k) AS k FROM pairs WHERE k IS NOT NULL GROUP BY w
+    ), hits AS (
+      SELECT w, p, np, k, i, i - row_number() OVER (PARTITION BY w ORDER BY i) AS run FROM pairs SEMI JOIN least USING (w, k)
+    ), taken AS (
+      SELECT w, p, np, k FROM (SELECT *, min(i) OVER (PARTITION BY w, run) AS i0 FROM hits) WHERE (i - i0) % 2 = 0
+    )""")
+#: Bytes beyond which a word counts as long.
+LONG = 48
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -87,22 +96,27 @@ class Coder:
                 missing.append(x)
             else:
                 out[x] = got
-        for at in range(0, len(missing), 40_000):
-            part = missing[at : at + 40_000]
-            out.update(zip(part, self._encode([x.encode() for x in part]), strict=True))
+        short, long = [x for x in missing if len(x) <= LONG // 4], [x for x in missing if len(x) > LONG // 4]
+        raw = [x.encode() for x in long]
+        short += [x for x, r in zip(long, raw, strict=True) if len(r) <= LONG]
+        long = [x for x, r in zip(long, raw, strict=True) if len(r) > LONG]
+        for query, words_ in ((ENCODE, short), (ENCODE_LONG, long)):
+            for at in range(0, len(words_), 60_000):
+                part = words_[at : at + 60_000]
+                out.update(zip(part, self._encode([x.encode() for x in part], query), strict=True))
         if len(self.new) + len(out) > self.limit:
             self.new, self.old = {}, self.new
         if len(out) <= self.limit:
             self.new.update(out)
         return out
 
-    def _encode(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
+    def _encode(self, words: list[bytes], query: str) -> list[tuple[bytes, bytes]]:
         n = np.array([1 if x in self.ranks else len(x) for x in words])
         tokens = [np.array([self.ranks[x]], dtype=np.int32) if x in self.ranks else self.byte[np.frombuffer(x, dtype=np.uint8)] for x in words]
         p = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         rows = pa.table({"w": pa.array(np.repeat(np.arange(len(words)), n), pa.int32()), "p": pa.array(p, pa.int32()), "t": pa.array(np.concatenate(tokens))})
         self.con.register("words", rows)
-        got = self.con.sql(ENCODE).to_arrow_table()
+        got = self.con.sql(query).to_arrow_table()
         self.con.unregister("words")
         out: list[tuple[bytes, bytes]] = [(b"", b"")] * len(words)
         ids = got.column("ids").combine_chunks()
@@ -128,6 +142,10 @@ class Coder:
         return ids, decoded
 
 
+#: The coder of this Python worker, kept from task to task.
+_kept: dict[int, Coder] = {}
+
+
 def encode(docs: DataFrame, rank_file: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, *keep, n_tokens, ids, decoded), a row for each row of ``docs``.
 
@@ -143,12 +161,15 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, *, id_col: str = "doc_
     given = docs.select(F.col(id_col).alias("id"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("body"))
     kept = [f.dataType.simpleString() for f in given.schema.fields[:-1]]
     names = ["id", *[f"k{i}" for i in range(len(keep))]]
+    shipped_id = hash((tuple(sorted(ranks.items())), pattern))
     shipped = docs.sparkSession.sparkContext.broadcast((ranks, merges, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = None
+        coder = _kept.get(shipped_id)
         for b in batches:
-            coder = coder or Coder(*shipped.value)
+            if coder is None:
+                _kept.clear()
+                coder = _kept[shipped_id] = Coder(*shipped.value)
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
                 ids, decoded = coder.run([x or "" for x in part.column(part.num_columns - 1).to_pylist()])
