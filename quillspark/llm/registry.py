@@ -7,6 +7,7 @@ from quillspark.llm.line_dedup import OP7_SQL, op7_query
 from quillspark.llm.mixing import op2_query
 from quillspark.llm.near_dedup import op9_query
 from quillspark.llm.quality_classifier import op3_query
+from quillspark.llm.quality_rules import OP8_SQL, op8_query
 
 
 def queries() -> dict:
@@ -14,10 +15,11 @@ def queries() -> dict:
         "op2_mixing": op2_query,
         "op3_quality_classifier": op3_query,
         "op7_line_dedup": op7_query,
+        "op8_quality_rules": op8_query,
         "op9_near_dedup": op9_query,
         "op10_byte_bpe": op10_query,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op7_line_dedup": OP7_SQL}
+    return {"op7_line_dedup": OP7_SQL, "op8_quality_rules": OP8_SQL}
