@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 
 from quillspark.llm._common import load
 
-#: Distinct words that a task keeps encoded, twice over (recent ones and the generation before).
-CACHE_WORDS = 250_000
+#: Distinct words that a Python worker keeps encoded; beyond, it starts anew.
+CACHE_WORDS = 700_000
 #: Characters of text that a task splits at a time; a longer document goes alone.
-SLICE_CHARS = 3_000_000
+SLICE_CHARS = 8_000_000
+#: Rows that it encodes at a time.
+SLICE_ROWS = 2_500
 
 #: Rows (w, p, t): token t at position p of word w. Each round pairs every token with the next, looks the pairs up in
-#: the merge table and contracts pairs that have the word's least rank. A word without pairs is done. {taken} says
+#: the merge table and contracts pairs that have the word's least rank. A word without pairs is done. {contract} says
 #: which of the least pairs are contracted.
 _ENCODE = """
 WITH RECURSIVE s(w, p, t, live) AS (
@@ -30,28 +32,30 @@ WITH RECURSIVE s(w, p, t, live) AS (
       FROM (SELECT w, p, t, lead(t) OVER o AS nt, lead(p) OVER o AS np, lead(w) OVER o AS nw, {i} AS i
             FROM s WHERE live WINDOW o AS (ORDER BY w::BIGINT * 4294967296 + p)) n
       LEFT JOIN merges m ON m.lr = CASE WHEN n.nw = n.w THEN n.t::BIGINT * 16777216 + n.nt END
-    ), {taken}
-    SELECT x.w, x.p, coalesce(h.k, x.t) AS t, l.w IS NOT NULL AS live, g.w IS NOT NULL AS gone
-    FROM pairs x LEFT JOIN least l ON l.w = x.w
-    LEFT JOIN taken h ON h.w = x.w AND h.p = x.p LEFT JOIN taken g ON g.w = x.w AND g.np = x.p
+    ), {contract}
   ) WHERE NOT gone
 )
 SELECT s.w, list(s.t ORDER BY s.p) AS ids, string_agg(v.hex, '' ORDER BY s.p) AS hex
 FROM s JOIN vocabulary v ON v.t = s.t WHERE NOT live GROUP BY s.w
 """
 #: Only the leftmost pair of the least rank.
-ENCODE = _ENCODE.format(i="0", taken="""least AS (
-      SELECT w, arg_min({{'k': k, 'p': p, 'np': np}}, k::BIGINT * 4294967296 + p) AS b FROM pairs WHERE k IS NOT NULL GROUP BY w
-    ), taken AS (SELECT w, b.k AS k, b.p AS p, b.np AS np FROM least)""".replace("{{", "{").replace("}}", "}"))
+ENCODE = _ENCODE.format(i="0", contract="""least AS (
+      SELECT w, min(k::BIGINT * 4294967296 + p) AS kp, arg_min(np, k::BIGINT * 4294967296 + p) AS np FROM pairs WHERE k IS NOT NULL GROUP BY w
+    )
+    SELECT x.w, x.p, CASE WHEN x.p = l.kp % 4294967296 THEN x.k ELSE x.t END AS t, l.w IS NOT NULL AS live, coalesce(x.p = l.np, false) AS gone
+    FROM pairs x LEFT JOIN least l ON l.w = x.w""")
 #: The leftmost, and every further one that doesn't overlap one taken: of a run of touching pairs every second. This
 #: is the same as taking them one by one, since what a contraction makes ranks above it; long words need fewer rounds.
-ENCODE_LONG = _ENCODE.format(i="row_number() OVER o", taken="""least AS (
+ENCODE_LONG = _ENCODE.format(i="row_number() OVER o", contract="""least AS (
       SELECT w, min(k) AS k FROM pairs WHERE k IS NOT NULL GROUP BY w
     ), hits AS (
       SELECT w, p, np, k, i, i - row_number() OVER (PARTITION BY w ORDER BY i) AS run FROM pairs SEMI JOIN least USING (w, k)
     ), taken AS (
       SELECT w, p, np, k FROM (SELECT *, min(i) OVER (PARTITION BY w, run) AS i0 FROM hits) WHERE (i - i0) % 2 = 0
-    )""")
+    )
+    SELECT x.w, x.p, coalesce(h.k, x.t) AS t, l.w IS NOT NULL AS live, g.w IS NOT NULL AS gone
+    FROM pairs x LEFT JOIN least l ON l.w = x.w
+    LEFT JOIN taken h ON h.w = x.w AND h.p = x.p LEFT JOIN taken g ON g.w = x.w AND g.np = x.p""")
 #: Bytes beyond which a word counts as long.
 LONG = 48
 
@@ -84,31 +88,23 @@ class Coder:
             self.con.register("_given", table)
             self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM _given")
             self.con.unregister("_given")
-        self.new: dict[str, tuple[bytes, bytes]] = {}
-        self.old: dict[str, tuple[bytes, bytes]] = {}
-
-    def learn(self, words: set[str]) -> dict[str, tuple[bytes, bytes]]:
-        """(ids, decoded bytes) of each word, from what is kept or from the recursive query."""
-        out, missing = {}, []
-        for x in words:
-            got = self.new.get(x) or self.old.get(x)
-            if got is None:
-                missing.append(x)
-            else:
-                out[x] = got
+        self.ids: dict[str, bytes] = {}
+        self.decoded: dict[str, bytes] = {}
+
+    def learn(self, words: set[str]) -> None:
+        """Encode and decode, by the recursive query, those of the words that aren't kept from before."""
+        missing = words - self.ids.keys()
+        if len(self.ids) + len(missing) > self.limit:
+            self.ids, self.decoded, missing = {}, {}, words
         short, long = [x for x in missing if len(x) <= LONG // 4], [x for x in missing if len(x) > LONG // 4]
         raw = [x.encode() for x in long]
         short += [x for x, r in zip(long, raw, strict=True) if len(r) <= LONG]
         long = [x for x, r in zip(long, raw, strict=True) if len(r) > LONG]
-        for query, words_ in ((ENCODE, short), (ENCODE_LONG, long)):
-            for at in range(0, len(words_), 60_000):
-                part = words_[at : at + 60_000]
-                out.update(zip(part, self._encode([x.encode() for x in part], query), strict=True))
-        if len(self.new) + len(out) > self.limit:
-            self.new, self.old = {}, self.new
-        if len(out) <= self.limit:
-            self.new.update(out)
-        return out
+        for query, own in ((ENCODE, short), (ENCODE_LONG, long)):
+            for at in range(0, len(own), 200_000):
+                part = own[at : at + 200_000]
+                for x, (ids, decoded) in zip(part, self._encode([x.encode() for x in part], query), strict=True):
+                    self.ids[x], self.decoded[x] = ids, decoded
 
     def _encode(self, words: list[bytes], query: str) -> list[tuple[bytes, bytes]]:
         n = np.array([1 if x in self.ranks else len(x) for x in words])
@@ -133,11 +129,10 @@ class Coder:
                 chars += len(texts[end])
                 end += 1
             pieces = [self.split(x) for x in texts[at:end]]
-            known = self.learn(set().union(*pieces))
+            self.learn(set().union(*pieces))
             for own in pieces:
-                got = [known[x] for x in own]
-                ids.append(b"".join([x[0] for x in got]))
-                decoded.append(b"".join([x[1] for x in got]))
+                ids.append(b"".join(map(self.ids.__getitem__, own)))
+                decoded.append(b"".join(map(self.decoded.__getitem__, own)))
             at = end
         return ids, decoded
 
@@ -170,8 +165,8 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, *, id_col: str = "doc_
             if coder is None:
                 _kept.clear()
                 coder = _kept[shipped_id] = Coder(*shipped.value)
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
+            for at in range(0, b.num_rows, SLICE_ROWS):
+                part = b.slice(at, SLICE_ROWS)
                 ids, decoded = coder.run([x or "" for x in part.column(part.num_columns - 1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], [*names, "n_tokens", "ids", "decoded"])
 
