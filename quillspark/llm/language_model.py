@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import _text as T
 from quillspark.llm._common import crc_mod, cut, load
+from quillspark.llm._exchange import PIECE, distinct, grouped, merged, pack_counts, pack_keys, piece, unpack_counts, unpack_keys
 
 #: Bytes of text of a chunk, and of the text whose pairs one bucket holds.
 CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 32 << 20
@@ -112,29 +113,6 @@ def sample_contexts(keys: np.ndarray, count: np.ndarray, seed: int) -> tuple[np.
     return np.stack(kept), start, of
 
 
-# Blobs: sorted 64-bit keys as byte planes of their differences, and small counts as bytes with a list of larger ones.
-
-
-def pack_keys(k: np.ndarray) -> bytes:
-    return np.diff(k, prepend=_U(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def unpack_keys(b: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(b, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=_U)
-
-
-def pack_counts(c: np.ndarray) -> bytes:
-    at = np.flatnonzero(c >= 255)
-    return np.array([len(c), len(at)], dtype="<i8").tobytes() + np.minimum(c, 255).astype(np.uint8).tobytes() + at.astype("<i8").tobytes() + c[at].astype("<i8").tobytes()
-
-
-def unpack_counts(b: bytes) -> np.ndarray:
-    n, m = np.frombuffer(b, dtype="<i8", count=2)
-    c = np.frombuffer(b, dtype=np.uint8, count=n, offset=16).astype(np.int64)
-    c[np.frombuffer(b, dtype="<i8", count=m, offset=16 + n)] = np.frombuffer(b, dtype="<i8", count=m, offset=16 + n + 8 * m)
-    return c
-
-
 @dataclass
 class Tokens:
     """A chunk's tokens: word hash, hash of the word before, and document."""
@@ -168,38 +146,6 @@ def pair_keys(t: Tokens, n: int) -> tuple[np.ndarray, np.ndarray]:
     return (T.mix(t.context ^ _U(0xA5A5A5A5A5A5A5A5)) % _U(n)).astype(np.int64), ((t.context >> _U(W_BITS)) << _U(W_BITS)) | (t.word & _W_MASK)
 
 
-def distinct(bucket: np.ndarray, key: np.ndarray, n: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """(sorted distinct keys of each bucket, place of each token's key in the buckets' keys laid end to end)."""
-    order = np.lexsort((key, bucket))
-    b, k = bucket[order], key[order]
-    new = np.concatenate([[True], (b[1:] != b[:-1]) | (k[1:] != k[:-1])])[: len(k)]
-    place = np.empty(len(k), dtype=np.int64)
-    place[order] = np.cumsum(new) - 1
-    at = np.flatnonzero(new)
-    return np.split(k[at], np.searchsorted(b[at], np.arange(1, n))), place
-
-
-def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
-    """Rows sorted by their first ``keys`` columns, a table for each key."""
-    at, held = None, []
-    for b in batches:
-        lead = list(zip(*(c.to_pylist() for c in b.columns[:keys]), strict=True))
-        i = 0
-        while i < len(lead):
-            j = i + 1
-            while j < len(lead) and lead[j] == lead[i]:
-                j += 1
-            if lead[i] != at and held:
-                yield at, pa.Table.from_batches(held)
-                held = []
-            at = lead[i]
-            held.append(b.slice(i, j - i))
-            i = j
-    if held:
-        yield at, pa.Table.from_batches(held)
-
-
-PIECE = "kind int, bucket int, chunk int, keys binary, counts binary"
 ANSWER = "chunk int, kind int, bucket int, a binary, b binary, c binary"
 
 
@@ -213,31 +159,18 @@ def _asked(n: int):
             for kind, (bucket, key) in enumerate(((bucket_of(t.word, n), t.word), pair_keys(t, n))):
                 keys, place = distinct(bucket, key, n)
                 counts = np.split(np.bincount(place[train], minlength=sum(map(len, keys))), np.cumsum([len(k) for k in keys])[:-1])
-                on = [i for i in range(n) if len(keys[i])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([kind] * len(on), pa.int32()), pa.array(on, pa.int32()), pa.array([chunk] * len(on), pa.int32()), pa.array([pack_keys(keys[i]) for i in on], pa.binary()), pa.array([pack_counts(counts[i]) for i in on], pa.binary())],
-                    ["kind", "bucket", "chunk", "keys", "counts"],
-                )
+                yield piece(kind, chunk, keys, counts)
 
     return run
 
 
-def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
-    """(keys, counts summed, [(chunk, places of its keys)])."""
-    chunks = table.column("chunk").to_pylist()
-    pieces = [unpack_keys(x) for x in table.column("keys").to_pylist()]
-    keys, place = np.unique(np.concatenate(pieces), return_inverse=True)
-    counts = np.bincount(place, weights=np.concatenate([unpack_counts(x) for x in table.column("counts").to_pylist()]), minlength=len(keys)).astype(np.int64)
-    return keys, counts, list(zip(chunks, np.split(place, np.cumsum([len(p) for p in pieces])[:-1]), strict=True))
-
-
 def _sampled(n: int, seed: int):
     """Pieces of pairs -> ANSWER rows of kind 1 (count, tables over all samples, contexts' tables and customers), and of
     kind 2 for word buckets (chunk -1: words' keys and tables in each sample)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, bucket), table in grouped(batches, 2):
-            keys, count, asked = _merged(table)
+            keys, count, asked = merged(table)
             tables, start, of = sample_contexts(keys, count, seed + bucket)
             customers = np.add.reduceat(count, start)
             own = np.stack([np.add.reduceat(t, start) for t in tables])
@@ -268,7 +201,7 @@ def _shared(n: int, seed: int):
         stirling = log_stirling(EXACT_COUNT, SHARED.discount)
         for (bucket,), table in grouped(batches, 1):
             kind = table.column("kind").to_numpy()
-            keys, count, asked = _merged(table.filter(pa.array(kind == 0)))
+            keys, count, asked = merged(table.filter(pa.array(kind == 0)))
             short = keys & _W_MASK
             every, back = np.unique(short, return_inverse=True)
             customers = np.zeros((SAMPLES, len(every)), dtype=np.int64)

@@ -9,6 +9,7 @@ from quillspark.llm.mixing import op2_query
 from quillspark.llm.near_dedup import op9_query
 from quillspark.llm.quality_classifier import op3_query
 from quillspark.llm.quality_rules import OP8_SQL, op8_query
+from quillspark.llm.suffix_dedup import OP4_SQL, op4_query
 from quillspark.llm.top_k import OP1_SQL, op1_query
 from quillspark.llm.toxicity import op5_query
 
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op1_top_k": op1_query,
         "op2_mixing": op2_query,
         "op3_quality_classifier": op3_query,
+        "op4_suffix_dedup": op4_query,
         "op5_toxicity": op5_query,
         "op6_language_model": op6_query,
         "op7_line_dedup": op7_query,
@@ -28,4 +30,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_top_k": OP1_SQL, "op7_line_dedup": OP7_SQL, "op8_quality_rules": OP8_SQL}
+    return {"op1_top_k": OP1_SQL, "op4_suffix_dedup": OP4_SQL, "op7_line_dedup": OP7_SQL, "op8_quality_rules": OP8_SQL}
