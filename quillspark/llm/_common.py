@@ -19,6 +19,10 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Spark's setting to remove a query's shuffle files when it ends; after a cut nothing can need them again.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -47,7 +51,15 @@ def cut(df: DataFrame, keep_path: bool = False):
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspark-cut/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     atexit.register(_remove_quietly, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     return (out, path) if keep_path else out

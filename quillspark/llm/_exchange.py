@@ -37,15 +37,20 @@ def unpack_counts(b: bytes) -> np.ndarray:
     return c
 
 
-def distinct(bucket: np.ndarray, key: np.ndarray, n: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """(sorted distinct keys of each bucket, place of each token's key in the buckets' keys laid end to end)."""
-    order = np.lexsort((key, bucket))
-    b, k = bucket[order], key[order]
-    new = np.concatenate([[True], (b[1:] != b[:-1]) | (k[1:] != k[:-1])])[: len(k)]
+def bucket_of(key: np.ndarray, n: int) -> np.ndarray:
+    """Buckets are ranges of keys, equal shares of the 64-bit numbers."""
+    return (((key >> _U(40)) * _U(n)) >> _U(24)).astype(np.int64)
+
+
+def distinct(key: np.ndarray, n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(sorted distinct keys of each bucket, place of each key in the buckets' keys laid end to end)."""
+    order = np.argsort(key)
+    k = key[order]
+    new = np.concatenate([[True], k[1:] != k[:-1]])[: len(k)]
     place = np.empty(len(k), dtype=np.int64)
     place[order] = np.cumsum(new) - 1
-    at = np.flatnonzero(new)
-    return np.split(k[at], np.searchsorted(b[at], np.arange(1, n))), place
+    k = k[new]
+    return np.split(k, np.searchsorted(bucket_of(k, n), np.arange(1, n))), place
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:

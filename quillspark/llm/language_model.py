@@ -22,20 +22,22 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import _text as T
 from quillspark.llm._common import crc_mod, cut, load
-from quillspark.llm._exchange import PIECE, distinct, grouped, merged, pack_counts, pack_keys, piece, unpack_counts, unpack_keys
+from quillspark.llm._exchange import PIECE, bucket_of, distinct, grouped, merged, pack_counts, pack_keys, piece, unpack_counts, unpack_keys
 
 #: Bytes of text of a chunk, and of the text whose pairs one bucket holds.
-CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 32 << 20
+CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
 #: Sweeps of the sampler before and between the samples that are averaged.
 BURN, GAP, SAMPLES = 4, 2, 3
 #: Counts up to which a dish's number of tables is drawn from its exact conditional.
 EXACT_COUNT = 24
+#: Customers beyond it that are drawn at a time.
+RAGGED = 1 << 19
 
 _U = np.uint64
 BEGIN, END = _U(0x1B873593CC9E2D51), _U(0x52DCE729DA3ED7A5)
-#: A pair's key: 30 bits of the context's hash above 34 bits of the word's.
-W_BITS = 34
-_W_MASK = _U((1 << W_BITS) - 1)
+#: A pair's key: the first 32 bits of the context's hash above the first 32 of the word's.
+_HALF = _U(32)
+_LOW = _U(0xFFFFFFFF)
 
 
 @dataclass(frozen=True)
@@ -74,13 +76,19 @@ def draw_tables(rng: np.random.Generator, count: np.ndarray, tables: np.ndarray,
         w = stirling[c, 1 : c + 1][None, :] + rise + t[None, :] * np.log(parent[at])[:, None]
         w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
         out[at] = 1 + (rng.random(len(at))[:, None] * w[:, -1:] > w).sum(axis=1)
-    for i in np.flatnonzero(count > EXACT_COUNT):
-        open_ = (r.strength + r.discount * (others[i] + tables[i])) * parent[i]
-        total, opened = int(count[i]), 1
-        for lo in range(1, total, 1 << 20):
-            seat = np.maximum(np.arange(lo, min(total, lo + (1 << 20))) - r.discount * min(tables[i], lo), 0.1)
-            opened += int((rng.random(len(seat)) < open_ / (open_ + seat)).sum())
-        out[i] = opened
+    many = np.flatnonzero(count > EXACT_COUNT)
+    for part in np.split(many, np.flatnonzero(np.diff(np.cumsum(count[many]) // RAGGED)) + 1) if len(many) else ():
+        own = count[part] - 1
+        first = np.cumsum(own) - own
+        opens = (r.strength + r.discount * (others[part] + tables[part])) * parent[part]
+        opened = np.zeros(len(part), dtype=np.int64)
+        for lo in range(0, int(own.sum()), 4 * RAGGED):  # in pieces, should one dish alone have very many customers
+            at = np.arange(lo, min(int(own.sum()), lo + 4 * RAGGED))
+            dish = np.searchsorted(first, at, side="right") - 1
+            nth = at - first[dish] + 1
+            seat = np.maximum(nth - r.discount * np.minimum(tables[part][dish], nth), 0.1)
+            opened += np.bincount(dish[rng.random(len(at)) * (opens[dish] + seat) < opens[dish]], minlength=len(part))
+        out[part] = 1 + opened
     return out
 
 
@@ -91,11 +99,11 @@ def sample_contexts(keys: np.ndarray, count: np.ndarray, seed: int) -> tuple[np.
     is estimated from the bucket's own tables, a hashed share of all contexts.
     """
     rng = np.random.default_rng(seed)
-    context = keys >> _U(W_BITS)
+    context = keys >> _HALF
     new = np.concatenate([[True], context[1:] != context[:-1]]) if len(keys) else np.zeros(0, bool)
     start = np.flatnonzero(new)
     of = np.cumsum(new) - 1
-    _, word = np.unique(keys & _W_MASK, return_inverse=True)
+    _, word = np.unique(keys & _LOW, return_inverse=True)
     n_words = int(word.max()) + 1 if len(keys) else 0
     stirling = log_stirling(EXACT_COUNT, CONTEXT.discount)
     t, kept = (count > 0).astype(np.int64), []
@@ -136,14 +144,8 @@ def tokens(texts: pa.Array) -> Tokens:
     return Tokens(h, before, d)
 
 
-def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
-    """By the bits above the lowest 34, mixed: for words, all with the same key of 34 bits share a bucket."""
-    return (T.mix(h & _W_MASK) % _U(n)).astype(np.int64)
-
-
-def pair_keys(t: Tokens, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, key) of each token's pair; the bucket comes from other bits of the context than the key holds."""
-    return (T.mix(t.context ^ _U(0xA5A5A5A5A5A5A5A5)) % _U(n)).astype(np.int64), ((t.context >> _U(W_BITS)) << _U(W_BITS)) | (t.word & _W_MASK)
+def pair_keys(t: Tokens) -> np.ndarray:
+    return ((t.context >> _HALF) << _HALF) | (t.word >> _HALF)
 
 
 ANSWER = "chunk int, kind int, bucket int, a binary, b binary, c binary"
@@ -156,8 +158,8 @@ def _asked(n: int):
         for (chunk,), table in grouped(batches, 1):
             t = tokens(table.column("body"))
             train = table.column("train").to_numpy().astype(bool)[t.doc]
-            for kind, (bucket, key) in enumerate(((bucket_of(t.word, n), t.word), pair_keys(t, n))):
-                keys, place = distinct(bucket, key, n)
+            for kind, key in enumerate((t.word, pair_keys(t))):
+                keys, place = distinct(key, n)
                 counts = np.split(np.bincount(place[train], minlength=sum(map(len, keys))), np.cumsum([len(k) for k in keys])[:-1])
                 yield piece(kind, chunk, keys, counts)
 
@@ -165,11 +167,15 @@ def _asked(n: int):
 
 
 def _sampled(n: int, seed: int):
-    """Pieces of pairs -> ANSWER rows of kind 1 (count, tables over all samples, contexts' tables and customers), and of
+    """PIECE rows; those of words pass as ANSWER rows of kind 4. Pieces of pairs -> ANSWER rows of kind 1 (count, tables over all samples, contexts' tables and customers), and of
     kind 2 for word buckets (chunk -1: words' keys and tables in each sample)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, bucket), table in grouped(batches, 2):
+        for (kind, bucket), table in grouped(batches, 2):
+            if kind == 0:
+                for r in table.to_pylist():
+                    yield _answer(r["chunk"], 4, bucket, r["keys"], r["counts"], b"")
+                continue
             keys, count, asked = merged(table)
             tables, start, of = sample_contexts(keys, count, seed + bucket)
             customers = np.add.reduceat(count, start)
@@ -178,9 +184,9 @@ def _sampled(n: int, seed: int):
             for chunk, place in asked:
                 contexts = np.unique(of[place])
                 yield _answer(chunk, 1, bucket, pack_counts(count[place]), pack_counts(summed[place]), pack_counts(np.concatenate([customers[contexts], *[o[contexts] for o in own]])))
-            words, word = np.unique(keys & _W_MASK, return_inverse=True)
+            words, word = np.unique(keys & _LOW, return_inverse=True)
             by = [np.bincount(word, weights=t, minlength=len(words)).astype(np.int64) for t in tables]
-            to = bucket_of(words, n)
+            to = bucket_of(words << _HALF, n)
             for b in range(n):
                 on = np.flatnonzero((to == b) & (by[0] + by[-1] > 0))
                 if len(on):
@@ -202,7 +208,7 @@ def _shared(n: int, seed: int):
         for (bucket,), table in grouped(batches, 1):
             kind = table.column("kind").to_numpy()
             keys, count, asked = merged(table.filter(pa.array(kind == 0)))
-            short = keys & _W_MASK
+            short = keys >> _HALF
             every, back = np.unique(short, return_inverse=True)
             customers = np.zeros((SAMPLES, len(every)), dtype=np.int64)
             for r in table.filter(pa.array(kind == 2)).to_pylist():
@@ -235,7 +241,7 @@ def _scores(n: int, n_train: int, vocabulary: int, customers: np.ndarray, tables
         texts = docs.column("body")
         t = tokens(texts)
         by = {(r["kind"], r["bucket"]): r for r in answers.to_pylist()}
-        keys, place = distinct(bucket_of(t.word, n), t.word, n)
+        keys, place = distinct(t.word, n)
         rows = [by[0, i] for i in range(n) if len(keys[i])]
         samples = lambda r, x, m: unpack_counts(r[x]).reshape(m, -1)
         c = np.concatenate([unpack_counts(r["a"]) for r in rows])
@@ -246,14 +252,14 @@ def _scores(n: int, n_train: int, vocabulary: int, customers: np.ndarray, tables
         base = np.log10((c + 0.5) / (n_train + 0.5 * (vocabulary + 1)))[place]
         known = (c > 0)[place]
 
-        pairs, at = distinct(*pair_keys(t, n), n)
+        pairs, at = distinct(pair_keys(t), n)
         count, summed, context, of, shift = [], [], [], [], 0
         for i in range(n):
             if len(pairs[i]):
                 r = by[1, i]
                 count.append(unpack_counts(r["a"]))
                 summed.append(unpack_counts(r["b"]))
-                _, inner = np.unique(pairs[i] >> _U(W_BITS), return_inverse=True)
+                _, inner = np.unique(pairs[i] >> _HALF, return_inverse=True)
                 of.append(inner + shift)
                 context.append(samples(r, "c", SAMPLES + 1))
                 shift += int(inner.max()) + 1
@@ -280,16 +286,16 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Trained on the rows whose crc32(doc_id) modulo ``folds`` isn't ``held_out``. A-Z is lower-cased; a text is its
     words and one end. Null and empty texts are the end alone. Rows that repeat count and are scored each time. A null
     id is in no fold, so it is trained on. Empty tables give no rows; without training rows every word is unknown.
-    Pairs are told apart by 64 bits of hash (30 and the bucket for the context, 34 for the word), words by 64.
+    Pairs are told apart by 64 bits of hash, half for each of their words; single words by 64.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("body") + 64), F.lit(0)).alias("n")).first().n
     chunks, n = max(1, math.ceil(size / CHUNK_BYTES)), max(12, math.ceil(size / BUCKET_BYTES))
     chunk = F.pmod(F.xxhash64(F.lit(seed), "id", F.xxhash64("body")), F.lit(chunks)).cast("int")
     dealt = rows.select(chunk.alias("chunk"), "id", (crc_mod(F.col("id"), folds) == held_out).alias("held_out"), "body")
-    pieces = cut(dealt.select("chunk", "id", (~F.col("held_out")).alias("train"), "body").repartition(chunks, "chunk").sortWithinPartitions("chunk").mapInArrow(_asked(n), PIECE))
-    answers = cut(pieces.where("kind = 1").repartition(n, "kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_sampled(n, seed), ANSWER))
-    words = pieces.where("kind = 0").select("bucket", "kind", "chunk", "keys", "counts").union(answers.where("kind = 2").select("bucket", "kind", "chunk", F.col("a").alias("keys"), F.col("b").alias("counts")))
+    pieces = dealt.select("chunk", "id", (~F.col("held_out")).alias("train"), "body").repartition(chunks, "chunk").sortWithinPartitions("chunk").mapInArrow(_asked(n), PIECE)
+    answers = cut(pieces.repartition(n, "kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_sampled(n, seed), ANSWER))
+    words = answers.where("kind in (2, 4)").select("bucket", F.expr("if(kind = 4, 0, 2)").alias("kind"), "chunk", F.col("a").alias("keys"), F.col("b").alias("counts"))
     shared = cut(words.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(n, seed), ANSWER))
     sums = np.zeros(2 + 2 * SAMPLES, dtype=np.int64)
     for r in shared.where("kind = 3").select("a").collect():  # a row for each bucket

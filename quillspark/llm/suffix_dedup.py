@@ -60,7 +60,7 @@ class Stretches:
             np.cumsum((data & 0xC0) != 0x80, out=chars[1:])
             row.append(w.doc[on] + a)
             start.append(on - w.first[w.doc[on]])
-            least.append(sliding_least(T.window_hash(w.hash, k), length - k + 1)[on])
+            least.append(T.mix(sliding_least(T.window_hash(w.hash, k), length - k + 1)[on]))  # least values are small: spread them
             print_.append(T.window_hash(w.hash, length)[on])
             base = chars[offsets[w.doc[on]]]
             at.append(np.stack([chars[w.start[on]] - base, chars[w.end[on + length - 1]] - base]).T if len(on) else np.zeros((0, 2), dtype=np.int64))
@@ -70,8 +70,7 @@ class Stretches:
 
     def asked(self, key: np.ndarray, on: np.ndarray, n: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
         """(distinct keys by bucket, documents that hold each, place of each stretch's key) of the stretches ``on``."""
-        bucket = ((key[on] >> _U(40)) % _U(n)).astype(np.int64)
-        keys, place = distinct(bucket, key[on], n)
+        keys, place = distinct(key[on], n)
         total = sum(map(len, keys))
         holds = np.unique(place * (len(self.doc_of_row) + 1) + self.doc_of_row[self.row[on]]) // (len(self.doc_of_row) + 1)
         return keys, np.split(np.bincount(holds, minlength=total), np.cumsum([len(x) for x in keys])[:-1]), place
