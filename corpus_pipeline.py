@@ -1,7 +1,66 @@
-"""Placeholder until the stages exist."""
-STAGES = []
+"""From raw documents to token ids: quality, common lines, near copies, mixing of sources, encoding.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last return the
+columns of ``documents``, whatever others come along.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.llm._common import cut, load
+from quillspark.llm.byte_bpe import encode
+from quillspark.llm.line_dedup import drop_common_lines
+from quillspark.llm.mixing import mix
+from quillspark.llm.near_dedup import near_duplicates
+from quillspark.llm.quality_classifier import score_documents
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, learnt from ``labels``, accepts."""
+    kept = score_documents(docs.select("doc_id", "text"), load(spark, sf_dir, "labels")).where("predicted = 1")
+    return docs.select(COLUMNS).join(kept.select(F.col("doc_id").alias("kept_id")).distinct(), F.col("doc_id") == F.col("kept_id"), "left_semi")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that many of them share; n_chars is counted again."""
+    others = docs.select(F.col("doc_id").alias("own_id"), "lang", "source")
+    cleaned = drop_common_lines(docs.select("doc_id", "text")).select(F.col("id").alias("doc_id"), F.col("kept_text").alias("text"))
+    return cleaned.join(others.dropDuplicates(["own_id"]), F.col("doc_id") == F.col("own_id")).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each group of near copies."""
+    first = near_duplicates(docs.select("doc_id", "text")).where("doc_id = class_id").select(F.col("doc_id").alias("first_id")).distinct()
+    return docs.select(COLUMNS).join(first, F.col("doc_id") == F.col("first_id"), "left_semi")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: the words taken, in whole copies of the document, rounded."""
+    taken = mix(docs.select("doc_id", "text", "source")).where("size > 0").select(F.col("doc_id").alias("mix_id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("copies")).where("copies > 0")
+    return docs.select(COLUMNS).join(taken, F.col("doc_id") == F.col("mix_id")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids (little-endian unsigned 32-bit integers) of each document, with digests of them and of what they decode to."""
+    import public_tokenizers
+
+    coded = encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=("source",))
+    return coded.select("doc_id", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("quality_classifier", quality), ("line_dedup", lines), ("minhash_near_dedup", near), ("source_mixing", mixed), ("byte_level_bpe", tokens)]
+
+#: Learnt scores, hashes and token ids can't be stated in SQL; tests hold run() against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each result written to the shared folder and read again as the next one's documents."""
+    docs = load(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
