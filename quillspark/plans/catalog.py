@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from quillspark.plans import decision_queries
+
+_PARTS = (decision_queries,)
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return decision_queries.cascade_decision(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: v for part in _PARTS for k, v in part.SQL.items()}
