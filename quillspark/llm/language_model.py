@@ -30,8 +30,6 @@ CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
 BURN, GAP, SAMPLES = 4, 2, 3
 #: Counts up to which a dish's number of tables is drawn from its exact conditional.
 EXACT_COUNT = 24
-#: Customers beyond it that are drawn at a time.
-RAGGED = 1 << 19
 
 _U = np.uint64
 BEGIN, END = _U(0x1B873593CC9E2D51), _U(0x52DCE729DA3ED7A5)
@@ -64,8 +62,8 @@ def draw_tables(rng: np.random.Generator, count: np.ndarray, tables: np.ndarray,
     """Tables of each dish, given its customers, the restaurant's tables of other dishes and the parent's probability.
 
     Up to EXACT_COUNT customers: from the exact conditional, with weights S(c, t) * rising(strength + discount *
-    others, t) * parent**t. Beyond: one indicator for each customer after the first, whether it opened a table,
-    given the number of tables before.
+    others, t) * parent**t. Beyond, S(c, t) goes as 1 / (Gamma(t) discount**(t - 1)) whatever c, which leaves a
+    negative binomial for the tables after the first.
     """
     out = tables.copy()
     out[count == 1] = 1
@@ -77,18 +75,9 @@ def draw_tables(rng: np.random.Generator, count: np.ndarray, tables: np.ndarray,
         w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
         out[at] = 1 + (rng.random(len(at))[:, None] * w[:, -1:] > w).sum(axis=1)
     many = np.flatnonzero(count > EXACT_COUNT)
-    for part in np.split(many, np.flatnonzero(np.diff(np.cumsum(count[many]) // RAGGED)) + 1) if len(many) else ():
-        own = count[part] - 1
-        first = np.cumsum(own) - own
-        opens = (r.strength + r.discount * (others[part] + tables[part])) * parent[part]
-        opened = np.zeros(len(part), dtype=np.int64)
-        for lo in range(0, int(own.sum()), 4 * RAGGED):  # in pieces, should one dish alone have very many customers
-            at = np.arange(lo, min(int(own.sum()), lo + 4 * RAGGED))
-            dish = np.searchsorted(first, at, side="right") - 1
-            nth = at - first[dish] + 1
-            seat = np.maximum(nth - r.discount * np.minimum(tables[part][dish], nth), 0.1)
-            opened += np.bincount(dish[rng.random(len(at)) * (opens[dish] + seat) < opens[dish]], minlength=len(part))
-        out[part] = 1 + opened
+    if len(many):
+        n = r.strength / r.discount + others[many] + 1
+        out[many] = np.minimum(count[many], 1 + rng.negative_binomial(n, 1 - np.minimum(parent[many], 0.999)))
     return out
 
 
