@@ -13,40 +13,48 @@ from pyspark.sql import functions as F
 from quillspark.llm._common import load
 
 #: Distinct words that a Python worker keeps encoded; beyond, it starts anew.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_000_000
 #: Characters of text that a task splits at a time; a longer document goes alone.
 SLICE_CHARS = 8_000_000
 #: Rows that it encodes at a time.
 SLICE_ROWS = 2_500
 
-#: Rows (w, p, t): token t at position p of word w. Each round pairs every token with the next, looks the pairs up in
-#: the merge table and contracts pairs that have the word's least rank. A word without pairs is done. {contract} says
-#: which of the least pairs are contracted.
-_ENCODE = """
-WITH RECURSIVE s(w, p, t, live) AS (
-  SELECT w, p, t, true FROM words
+# Rows: token t at position p of word w. Each round pairs every token with the next, looks the pairs up in the merge table
+# and contracts pairs that have the word's least rank. A word without pairs is done; its tokens are decoded in order.
+
+#: Only the leftmost pair of the least rank. Words are short here: word and position are one number, word * 64 + p.
+ENCODE = """
+WITH RECURSIVE s(wp, t, live) AS (
+  SELECT w::BIGINT * 64 + p, t, true FROM words
   UNION ALL
-  SELECT w, p, t, live FROM (
+  SELECT wp, t, live FROM (
     WITH pairs AS MATERIALIZED (
-      SELECT n.w, n.p, n.t, n.np, n.i, m.k
-      FROM (SELECT w, p, t, lead(t) OVER o AS nt, lead(p) OVER o AS np, lead(w) OVER o AS nw, {i} AS i
-            FROM s WHERE live WINDOW o AS (ORDER BY w::BIGINT * 4294967296 + p)) n
-      LEFT JOIN merges m ON m.lr = CASE WHEN n.nw = n.w THEN n.t::BIGINT * 16777216 + n.nt END
-    ), {contract}
+      SELECT n.wp, n.t, n.np, m.k
+      FROM (SELECT wp, t, lead(t) OVER o AS nt, lead(wp) OVER o AS np FROM s WHERE live WINDOW o AS (ORDER BY wp)) n
+      LEFT JOIN merges m ON m.lr = CASE WHEN n.np >> 6 = n.wp >> 6 THEN n.t::BIGINT * 16777216 + n.nt END
+    ), least AS (
+      SELECT wp >> 6 AS w, min(k::BIGINT * 4096 + (wp & 63) * 64 + (np & 63)) AS b FROM pairs WHERE k IS NOT NULL GROUP BY wp >> 6
+    )
+    SELECT x.wp, CASE WHEN x.wp & 63 = (l.b >> 6) & 63 THEN x.k ELSE x.t END AS t, l.b IS NOT NULL AS live, coalesce(x.wp & 63 = l.b & 63, false) AS gone
+    FROM pairs x LEFT JOIN least l ON l.w = x.wp >> 6
   ) WHERE NOT gone
 )
-SELECT s.w, list(s.t ORDER BY s.p) AS ids, string_agg(v.hex, '' ORDER BY s.p) AS hex
-FROM s JOIN vocabulary v ON v.t = s.t WHERE NOT live GROUP BY s.w
+SELECT (s.wp >> 6)::INTEGER AS w, list(s.t ORDER BY s.wp) AS ids, string_agg(v.hex, '' ORDER BY s.wp) AS hex
+FROM s JOIN vocabulary v ON v.t = s.t WHERE NOT live GROUP BY s.wp >> 6
 """
-#: Only the leftmost pair of the least rank.
-ENCODE = _ENCODE.format(i="0", contract="""least AS (
-      SELECT w, min(k::BIGINT * 4294967296 + p) AS kp, arg_min(np, k::BIGINT * 4294967296 + p) AS np FROM pairs WHERE k IS NOT NULL GROUP BY w
-    )
-    SELECT x.w, x.p, CASE WHEN x.p = l.kp % 4294967296 THEN x.k ELSE x.t END AS t, l.w IS NOT NULL AS live, coalesce(x.p = l.np, false) AS gone
-    FROM pairs x LEFT JOIN least l ON l.w = x.w""")
 #: The leftmost, and every further one that doesn't overlap one taken: of a run of touching pairs every second. This
 #: is the same as taking them one by one, since what a contraction makes ranks above it; long words need fewer rounds.
-ENCODE_LONG = _ENCODE.format(i="row_number() OVER o", contract="""least AS (
+ENCODE_LONG = """
+WITH RECURSIVE s(w, p, t, live) AS (
+  SELECT w, p, t, true FROM words
+  UNION ALL
+  SELECT w, p, t, live FROM (
+    WITH pairs AS MATERIALIZED (
+      SELECT n.w, n.p, n.t, n.np, n.i, m.k
+      FROM (SELECT w, p, t, lead(t) OVER o AS nt, lead(p) OVER o AS np, row_number() OVER o AS i
+            FROM s WHERE live WINDOW o AS (PARTITION BY w ORDER BY p)) n
+      LEFT JOIN merges m ON m.lr = n.t::BIGINT * 16777216 + n.nt
+    ), least AS (
       SELECT w, min(k) AS k FROM pairs WHERE k IS NOT NULL GROUP BY w
     ), hits AS (
       SELECT w, p, np, k, i, i - row_number() OVER (PARTITION BY w ORDER BY i) AS run FROM pairs SEMI JOIN least USING (w, k)
@@ -55,7 +63,12 @@ ENCODE_LONG = _ENCODE.format(i="row_number() OVER o", contract="""least AS (
     )
     SELECT x.w, x.p, coalesce(h.k, x.t) AS t, l.w IS NOT NULL AS live, g.w IS NOT NULL AS gone
     FROM pairs x LEFT JOIN least l ON l.w = x.w
-    LEFT JOIN taken h ON h.w = x.w AND h.p = x.p LEFT JOIN taken g ON g.w = x.w AND g.np = x.p""")
+    LEFT JOIN taken h ON h.w = x.w AND h.p = x.p LEFT JOIN taken g ON g.w = x.w AND g.np = x.p
+  ) WHERE NOT gone
+)
+SELECT s.w, list(s.t ORDER BY s.p) AS ids, string_agg(v.hex, '' ORDER BY s.p) AS hex
+FROM s JOIN vocabulary v ON v.t = s.t WHERE NOT live GROUP BY s.w
+"""
 #: Bytes beyond which a word counts as long.
 LONG = 48
 
@@ -89,13 +102,13 @@ class Coder:
             self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM _given")
             self.con.unregister("_given")
         self.ids: dict[str, bytes] = {}
-        self.decoded: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}  # decoded bytes that aren't the word's own; none, if the vocabulary is sound
 
     def learn(self, words: set[str]) -> None:
         """Encode and decode, by the recursive query, those of the words that aren't kept from before."""
         missing = words - self.ids.keys()
         if len(self.ids) + len(missing) > self.limit:
-            self.ids, self.decoded, missing = {}, {}, words
+            self.ids, self.odd, missing = {}, {}, words
         short, long = [x for x in missing if len(x) <= LONG // 4], [x for x in missing if len(x) > LONG // 4]
         raw = [x.encode() for x in long]
         short += [x for x, r in zip(long, raw, strict=True) if len(r) <= LONG]
@@ -104,7 +117,9 @@ class Coder:
             for at in range(0, len(own), 200_000):
                 part = own[at : at + 200_000]
                 for x, (ids, decoded) in zip(part, self._encode([x.encode() for x in part], query), strict=True):
-                    self.ids[x], self.decoded[x] = ids, decoded
+                    self.ids[x] = ids
+                    if decoded != x.encode():
+                        self.odd[x] = decoded
 
     def _encode(self, words: list[bytes], query: str) -> list[tuple[bytes, bytes]]:
         n = np.array([1 if x in self.ranks else len(x) for x in words])
@@ -132,7 +147,7 @@ class Coder:
             self.learn(set().union(*pieces))
             for own in pieces:
                 ids.append(b"".join(map(self.ids.__getitem__, own)))
-                decoded.append(b"".join(map(self.decoded.__getitem__, own)))
+                decoded.append(b"".join(self.odd.get(x) or x.encode() for x in own) if self.odd else "".join(own).encode())
             at = end
         return ids, decoded
 
