@@ -251,3 +251,27 @@ def test_hard_negatives(spark):
     assert a == generate.corruptions("会議は3時に始まりません") and {"number", "negation"} <= {k for k, _, _ in a} and len({t for _, t, _ in a}) == len(a) <= 8
     rows = spark.createDataFrame([(1, "a 1 b"), (2, None)], "id long, text string")
     assert generate.hard_negatives(rows).where("id = 1").count() == len(generate.corruptions("a 1 b"))
+
+
+def test_gates_and_teachers(spark):
+    from quillspark.operators import distil, gates
+
+    judged = spark.createDataFrame([(1, t, c, s, "probability", 1.0, False) for t, c, s in (("a", "x", 0.9), ("a", "y", 0.1), ("b", "x", 0.8), ("b", "y", 0.2))] + [(2, "a", "x", 1.0, "logit", 1.0, True)], "group_id long, teacher string, candidate_id string, score double, kind string, reliability double, abstained boolean")
+    preference, groups = distil.teacher_consensus(judged)
+    p = {r.candidate_id: r.preference for r in preference.collect()}
+    g = {r.group_id: r for r in groups.collect()}
+    assert p["x"] > 0.8 and sum(p.values()) == pytest.approx(1) and g[1].usable and g[2].reasons == ["insufficient-active-teachers", "all-teachers-abstained"]
+    rows = spark.createDataFrame([(1, 1.0, 0.0), (1, 0.0, 1.0)], "group_id long, teacher double, student double").withColumn("candidate_id", F.col("teacher").cast("string"))
+    assert distil.decoupled_top_k(rows, k=1).first().loss > 0
+    policies = gates.default_policies(spark)
+    assert policies.count() == 6
+    known = policies.withColumns({"passed": F.col("candidate_count") < 9, "mean_cost": F.col("candidate_count") * 100.0, "upper": F.lit(0.05)})
+    states = spark.createDataFrame([(1, 4, 10_000.0), (2, 1, 1.0)], "state_id long, available int, budget double")
+    assert {r.state_id: r.policy_id for r in gates.select_policy(known, states).collect()} == {1: "k1-cheap", 2: "k16-verified-fallback"}
+
+
+def test_pairwise_alignment(spark):
+    from quillspark.operators import distil
+
+    r = spark.createDataFrame([(-2.0, -8.0, 4, 4, None, None)], "chosen_logprob double, rejected_logprob double, chosen_length int, rejected_length int, reference_chosen_logprob double, reference_rejected_logprob double")
+    assert distil.pairwise_alignment(r).first().loss == pytest.approx(math.log(1 + math.exp(-1.5)))
