@@ -7,11 +7,14 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm import _text as T
 from quillspark.llm._common import crc_mod, cut, load
+from quillspark.llm.near_dedup import shingles
 
 #: Labelled training rows that terms and their weights are learnt from, at most, of each label: those of least hash.
 SAMPLE_ROWS = 8_000
@@ -224,6 +227,18 @@ def _likelihood_gain(tox: int, non: int, n_tox: int, n_non: int) -> float:
     return one(tox, n_tox) + one(non, n_non) - part(tox, n_tox, both) - part(non, n_non, both)
 
 
+def _without_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, body) -> (label, body, key): the least hash of the text's runs of five words, which near copies share."""
+    for b in batches:
+        keys = []
+        for a, z, data, offsets in T.spans(b.column(1)):
+            h, d = shingles(data, offsets)
+            least = np.full(z - a, np.iinfo(np.uint64).max, dtype=np.uint64)
+            np.minimum.at(least, d, T.mix(h))
+            keys.append(least.view(np.int64))
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], ["label", "body", "key"])
+
+
 def learn(sample: DataFrame, *, min_precision: float = 0.75, min_gain: float = 3.0, min_docs: int = 3) -> Scorer:
     """A scorer from (label, body), the bounded training sample."""
     n = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -289,7 +304,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, folds: int = 4, held_
     """(doc_id, held_out, score, predicted), a row for each row of ``docs``.
 
     Terms and weights come from at most ``sample_rows`` rows of each label among those whose crc32(doc_id) modulo
-    ``folds`` isn't ``held_out``: the rows with the least hash of doc_id. A score sees the text alone. Null text
+    ``folds`` isn't ``held_out``: the rows with the least hash of doc_id, of near copies among them one. A score sees the text alone. Null text
     scores as the empty text, as a document without hits. Labels that are null or not 0 or 1 are passed over. A null
     id is in no fold, so never held out. Without labels of both kinds a fixed list of insults is the lexicon.
     Texts are read whole. The lexicon shipped to tasks has at most MAX_TERMS words and as many stems.
@@ -297,7 +312,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, folds: int = 4, held_
     given = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("body"))
     y = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("label")).where(F.col("label").isin(0, 1) & (crc_mod(F.col("id"), folds) != held_out))
     picked = [y.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(sample_rows) for k in (0, 1)]
-    sample = cut(given.join(picked[0].union(picked[1]), "id").select("label", "body"))
+    sample = given.join(picked[0].union(picked[1]), "id").select("label", "body").mapInArrow(_without_copies, "label int, body string, key long")
+    sample = cut(sample.groupBy("label", "key").agg(F.min("body").alias("body")).select("label", "body"))
     scorer = learn(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
