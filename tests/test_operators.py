@@ -275,3 +275,55 @@ def test_pairwise_alignment(spark):
 
     r = spark.createDataFrame([(-2.0, -8.0, 4, 4, None, None)], "chosen_logprob double, rejected_logprob double, chosen_length int, rejected_length int, reference_chosen_logprob double, reference_rejected_logprob double")
     assert distil.pairwise_alignment(r).first().loss == pytest.approx(math.log(1 + math.exp(-1.5)))
+
+
+def test_japanese():
+    from quillspark.functions import japanese as J
+
+    assert [u.phones for u in J.kana_to_phones("きゃっかー")] == [("ky", "a"), ("cl",), ("k", "a"), ("a",)]
+    with pytest.raises(ValueError):
+        J.kana_to_phones("漢")
+    with pytest.raises(ValueError):
+        J.kana_to_phones("ー")
+    units = J.phones_to_units(["k", "a", "a", "N", "cl", "pau", "s", "U", "x"])
+    assert [u.kind for u in units] == ["regular", "regular", "moraic-nasal", "geminate", "pause", "regular", "unresolved"] and units[1].maybe_long and units[5].devoiced
+    assert sum((u.phones for u in units), ()) == ("k", "a", "a", "N", "cl", "pau", "s", "U", "x")
+    assert J.timed_morae([("シ", 0, 1, 0.9), ("ャ", 1, 2, 0.5), ("、", 2, 3, None), ("ャ", 3, 4, None)]) == [("シャ", 0, 2, 0.5), ("ャ", 3, 4, None)]
+    assert J.normalise("今日 は !!!!\n\n\n\nはい。。。。") == "今日 は！！\n\nはい。。" and J.reading("かな、カナ") == "カナ、カナ" and J.reading("漢") is None
+    assert J.join_timed([(0, 10, "今日は雨"), (5, 15, "は雨だ"), (20, 30, "だ。")]) == "今日は雨だだ。"
+    with pytest.raises(ValueError):
+        J.join_timed([(5, 6, "a"), (0, 1, "b")])
+    assert J.tokens("東京タワー Big-5 3.5", "subword") == ["東京", "タワ", "ワー", "big-5", "3.5"] and J.tokens("漢 a", "mora") == ["surface:漢", "surface:a"]
+    assert J.filler_score("(F えーと) 今日", "えーと今日") == (1.0, 1.0, 1.0) and J.filler_score("x", "y") is None
+    assert J.unsupported_share("abc", "abd", []) == 1.0 and J.unsupported_share("abc", "abd", [(2, 3)]) == 0.0 and J.unsupported_share("a", "a", []) == 0.0
+
+
+def test_deliberation(spark):
+    from quillspark.operators import deliberate as D
+
+    kind = "doc long, span int, arc string, retained boolean, generated boolean, independent boolean, eligible boolean, score double, factor double, audio double"
+    rows = [
+        (1, 0, "a0", True, False, True, True, 0.1, 1.0, 0.5), (1, 0, "a1", False, False, True, True, 0.9, 1.0, 0.45), (1, 0, "a2", False, False, True, True, 5.0, 1.0, 0.1),
+        (1, 1, "b0", True, False, True, True, 0.2, 1.0, 0.5), (1, 1, "b1", False, True, False, True, 9.0, 1.0, 0.5), (2, 0, "c0", True, False, True, True, 0.0, 1.0, None),
+    ]
+    arcs = spark.createDataFrame(rows, kind)
+    got = {r.doc: r for r in D.decode(arcs).collect()}
+    assert got[1].path == ["a1", "b0"] and got[1].status == "accepted" and got[1].reasons == ["changed-span:0"] and got[2].reasons == ["single-surviving-path"]
+    context = spark.createDataFrame([(1, "a0>b0", 2.0)], "doc long, path string, value double")
+    assert {r.doc: r.path for r in D.decode(arcs, context=context).collect()}[1] == ["a0", "b0"]
+    free = {r.doc: r for r in D.decode(arcs, D.Policy(independent_audio=False)).collect()}[1]
+    assert free.path == ["a1", "b1"] and free.status == "provisional"
+    mix = spark.createDataFrame([(1, "m", 1.0, 0.0, "x", 1.0), (1, "n", 0.5, 0.0, "x", 0.0), (1, "o", 0.01, 0.0, "x", 9.0)], "group_id long, branch string, reliability double, cost double, candidate_id string, score double")
+    assert D.residual_mix(mix).first().score == pytest.approx(2 / 3)
+
+
+def test_features_and_directional_loss(spark):
+    from quillspark.operators import features
+
+    r = features.surface_features(features.candidate_features(pool.pool_candidates(frame(spark, [candidate(text="会議は3時ない", acoustic=0.5, rank=1, hypothesis_count=4)])))).first()
+    assert (r.f_relative_rank, r.g_number, r.g_negation, r.g_entity, r.g_missing) == (1.0, 1.0, 1.0, 0.0, pytest.approx(0.8))
+    pair = spark.createDataFrame([("3時です", "時です"), ("時です", "3時です"), ("", "")], "a string, b string").select(*[v.alias(k) for k, v in features.directional_loss(F.col("a"), F.col("b")).items()])
+    x, y, z = pair.collect()
+    assert x.number == 1.0 and x.unsupported_insertion == pytest.approx(0.25) and y.unsupported_insertion == 0 and y.number == 1.0 and z.loss == 0
+    m = spark.createDataFrame([("¥100払う。", "¥200払う")], "r string, o string").select(*[v.alias(k) for k, v in features.transcript_measures(F.col("r"), F.col("o")).items()]).first()
+    assert m.currency == 1.0 and m.negation == 0.0 and m.punctuation_f1 == 0.0
