@@ -169,6 +169,48 @@ def train_listwise(rows: DataFrame, names: list[str], *, epochs: int = 160, rate
     return LinearRanker(dict(zip(names, w.tolist(), strict=True)), standard, history)
 
 
+def target_distribution(rows: DataFrame, *, sharpness: float = 8.0) -> DataFrame:
+    """Adds ``target``: exp(-sharpness * (loss - least loss of the group)), normalised, where none is given."""
+    w = S.whole("group_id")
+    raw = F.exp(-sharpness * (F.col("loss") - F.min("loss").over(w)))
+    derived = raw / F.sum(raw).over(w)
+    return rows.withColumn("target", F.coalesce(F.col("target"), derived) if "target" in rows.columns else derived)
+
+
+def on_simplex(v: np.ndarray) -> np.ndarray:
+    """The nearest point with non-negative coordinates that add up to one."""
+    u = np.sort(v)[::-1]
+    k = np.arange(1, len(v) + 1)
+    shift = (np.cumsum(u) - 1) / k
+    return np.maximum(v - shift[np.flatnonzero(u > shift)[-1]], 0.0)
+
+
+def train_fusion(rows: DataFrame, start: dict[str, float], family: tuple[str, ...], *, floor: float = 0.72, epochs: int = 200, rate: float = 0.08, pull: float = 0.02, temperature: float = 0.18, sample_groups: int = 5_000) -> dict[str, float]:
+    """Stream weights by gradient steps on the cross-entropy of ``target``, kept on the simplex with the family's floor.
+
+    ``rows``: (group_id, candidate_id, streams on [0, 1], target). ``pull`` draws back to the starting weights.
+    """
+    names = list(start)
+    w0 = np.array([start[n] for n in names])
+    w0 = w0 / w0.sum()
+    own = np.array([n in family for n in names])
+    rows = rows.withColumn("loss", F.col("target"))
+    groups = _groups(rows, names, Standardiser(dict.fromkeys(names, 0.0), dict.fromkeys(names, 1.0)), sample_groups)
+    w = w0.copy()
+    for epoch in range(epochs if groups else 0):
+        g = 2 * pull * (w - w0)
+        for x, t in groups:
+            e = np.exp((x @ w - (x @ w).max()) / temperature)
+            g = g + x.T @ (e / e.sum() - t) / temperature / len(groups)
+        w = on_simplex(w - rate / math.sqrt(1 + 0.05 * epoch) * g)
+        held = w[own].sum()
+        if held < floor:
+            w[own] = w[own] * floor / held if held > 0 else floor / own.sum()
+            rest = w[~own].sum()
+            w[~own] = w[~own] * (1 - floor) / rest if rest > 0 else (1 - floor) / max(1, (~own).sum())
+    return dict(zip(names, w.tolist(), strict=True))
+
+
 def evaluate_ranker(rows: DataFrame, score: str) -> DataFrame:
     """One row: share of pairs of a group, with different losses, that the score orders rightly, and mean loss of the best."""
     a, b = rows.select("group_id", F.col("candidate_id").alias("i"), F.col("loss").alias("li"), F.col(score).alias("si")), rows.select("group_id", F.col("candidate_id").alias("j"), F.col("loss").alias("lj"), F.col(score).alias("sj"))

@@ -148,6 +148,64 @@ def stream_events(chunks: DataFrame, limits: Limits | None = None, *, idle_ms: i
     return chunks.groupBy("session").applyInPandasWithState(run, EVENTS, "machine string", "append", timeout)
 
 
+GROUPS = "session string, `group` int, first string, last string, start long, end long, parents int, trigger string"
+
+
+@dataclass
+class Grouper:
+    """Finals to groups for a second pass: closed by an idle gap, by length, by number, or at the end."""
+
+    idle: int
+    longest: int
+    most: int
+    number: int = 0
+    open: list = field(default_factory=list)  # first, last, start, end, parents
+
+    def _close(self, trigger: str) -> tuple:
+        self.number += 1
+        first, last, start, end, parents = self.open
+        self.open = []
+        return self.number, first, last, start, end, parents, trigger
+
+    def feed(self, name: str, start: int, end: int) -> Iterator[tuple]:
+        if self.open:
+            if start < self.open[2] or end <= self.open[3]:
+                raise ValueError(f"final {name} doesn't advance")
+            if start - self.open[3] >= self.idle:
+                yield self._close("idle-gap")
+            elif end - self.open[2] > self.longest:
+                yield self._close("max-duration")
+            elif self.open[4] >= self.most:
+                yield self._close("parent-limit")
+        self.open = [self.open[0], name, self.open[2], end, self.open[4] + 1] if self.open else [name, name, start, end, 1]
+        if end - self.open[2] >= self.longest:
+            yield self._close("max-duration")
+
+
+def stream_groups(finals: DataFrame, *, idle: int, longest: int, most: int, idle_ms: int | None = None) -> DataFrame:
+    """Groups of a stream of finals (session, id, start, end), in order; what is open closes when a session falls idle."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    columns = ["session", "group", "first", "last", "start", "end", "parents", "trigger"]
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        number, open_ = json.loads(state.get[0]) if state.exists else (0, [])
+        g = Grouper(idle, longest, most, number, open_)
+        if state.hasTimedOut:
+            state.remove()
+            out = [g._close("eof")] if g.open else []
+        else:
+            rows = pd.concat(list(batches)).sort_values(["start", "end", "id"])
+            out = [e for r in rows.itertuples() for e in g.feed(str(r.id), int(r.start), int(r.end))]
+            state.update((json.dumps([g.number, g.open]),))
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame([(key[0], *e) for e in out], columns=columns)
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return finals.groupBy("session").applyInPandasWithState(run, GROUPS, "open string", "append", timeout)
+
+
 def windowed(events: DataFrame, time: str, *, size: str = "28 seconds", step: str = "26.8 seconds", late: str = "1 minute", by: tuple[str, ...] = ()) -> DataFrame:
     """Counts in sliding windows of event time behind a watermark; windows start at multiples of the step."""
     from pyspark.sql import functions as F

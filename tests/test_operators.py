@@ -327,3 +327,13 @@ def test_features_and_directional_loss(spark):
     assert x.number == 1.0 and x.unsupported_insertion == pytest.approx(0.25) and y.unsupported_insertion == 0 and y.number == 1.0 and z.loss == 0
     m = spark.createDataFrame([("¥100払う。", "¥200払う")], "r string, o string").select(*[v.alias(k) for k, v in features.transcript_measures(F.col("r"), F.col("o")).items()]).first()
     assert m.currency == 1.0 and m.negation == 0.0 and m.punctuation_f1 == 0.0
+
+
+def test_fusion_weights(spark):
+    rng = random.Random(8)
+    rows = [(g, str(i), x, rng.random(), 1 - x) for g in range(50) for i in range(4) for x in [rng.random()]]
+    df = learn.target_distribution(spark.createDataFrame(rows, "group_id long, candidate_id string, acoustic double, lexical double, loss double"))
+    assert df.groupBy("group_id").agg(F.sum("target").alias("t")).where("abs(t - 1) > 1e-9").count() == 0
+    w = learn.train_fusion(df.drop("loss"), {"acoustic": 0.5, "lexical": 0.5}, ("acoustic",), epochs=60)
+    assert sum(w.values()) == pytest.approx(1) and w["acoustic"] >= 0.72 - 1e-9
+    assert list(learn.on_simplex(np.array([2.0, 0.0]))) == [1.0, 0.0]

@@ -136,3 +136,20 @@ def test_windowed_counts(spark, sf, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("days").agg(F.sum("n")).first()[0] == e.count()
+
+
+def test_stream_of_groups_equals_batch(spark, tmp_path):
+    from quillspark.operators.intervals import grouped_finals
+
+    kind = "session string, id string, start long, end long"
+    spans = [(0, 5), (6, 12), (13, 18), (40, 44), (45, 90), (200, 201)]
+    rows = [(s, f"{i}", a, b) for s in "ab" for i, (a, b) in enumerate(spans)]
+    source = str(tmp_path / "g")
+    for i in range(len(spans)):
+        spark.createDataFrame([r for r in rows if r[1] == str(i)], kind).coalesce(1).write.mode("append").parquet(source)
+    options = dict(idle=10, longest=30, most=2)
+    q = sessions.stream_groups(spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(source), **options).writeStream.format("memory").queryName("groups").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    want = {tuple(r) for r in grouped_finals(spark.createDataFrame(rows, kind), **options).where("trigger <> 'eof'").select("session", "group", "first", "last", "start", "end", "parents", "trigger").collect()}
+    assert {tuple(r) for r in spark.table("groups").collect()} == want and {r[7] for r in want} == {"idle-gap", "max-duration", "parent-limit"}
