@@ -151,6 +151,7 @@ class Scorer:
     quoted: float = 0.35
     addressed: float = 1.15
     rest: float = 0.02
+    harmless: frozenset = frozenset()  # words near a term that harmless texts use
     lexicon: Lexicon | None = field(default=None, repr=False)
     seen: set = field(default_factory=set, repr=False)
     hits: dict = field(default_factory=dict, repr=False)
@@ -163,7 +164,8 @@ class Scorer:
         if self.lexicon is None:
             self.lexicon = Lexicon(self.words, self.stems)
         for raw in tokens - self.seen - self.hits.keys():
-            got = self.lexicon.match(raw.strip(EDGE))
+            word = raw.strip(EDGE)
+            got = None if word in self.harmless else self.lexicon.match(word)
             if got is None:
                 self.seen.add(raw)
             else:
@@ -278,24 +280,38 @@ def learn(sample: DataFrame, *, min_precision: float = 0.75, min_gain: float = 3
     words = {w: v[1] for w, v in sorted(whole.items(), key=lambda x: (-x[1][0], x[0]))[:MAX_TERMS] if not any(w.startswith(s) for s in stems)}
     stems = dict(list(stems.items())[:MAX_TERMS])
     scorer = Scorer({x: 0.8 for x in SEEDS if tox.get(x, 0) + non.get(x, 0) == 0 or x in words} | words, stems)
-    return _weigh(sample, scorer, n_tox, n_non)
+    return _weigh(sample, scorer)
 
 
-def _weigh(sample: DataFrame, scorer: Scorer, n_tox: int, n_non: int) -> Scorer:
-    """Near hits and documents without any hit get the weight that the sample gives them."""
+def _counted(sample: DataFrame, of) -> Counter:
+    """(key, label) to documents: ``of(text)`` gives each document's keys; the commonest MAX_CANDIDATES keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[tuple] = Counter()
         for b in batches:
             for label, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = {k for _, k, _, _ in scorer.evidence((x or "").lower())}
-                kind = "none" if not found else "near" if found == {NEAR} else "sure"
-                total[kind, label] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in total], pa.string()), pa.array([y for _, y in total], pa.int32()), pa.array(list(total.values()), pa.int64())], ["kind", "label", "n"])
-
-    got = Counter({(r.kind, r.label): r.n for r in sample.select("label", "body").mapInArrow(run, "kind string, label int, n long").groupBy("kind", "label").agg(F.sum("n").alias("n")).collect()})
-    share = lambda kind, prior: (got[kind, 1] + 4 * prior) / (got[kind, 1] + got[kind, 0] + 4)
-    scorer.near = min(0.9, share("near", 0.5))
+                total.update((k, label) for k in of((x or "").lower()))
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in total], pa.string()), pa.array([y for _, y in total], pa.int32()), pa.array(list(total.values()), pa.int64())], ["key", "label", "n"])
+
+    per = sample.select("label", "body").mapInArrow(run, "key string, label int, n long").groupBy("key", "label").agg(F.sum("n").alias("n"))
+    return Counter({(r.key, r.label): r.n for r in per.orderBy(F.desc("n"), "key", "label").limit(MAX_CANDIDATES).collect()})
+
+
+def _weigh(sample: DataFrame, scorer: Scorer) -> Scorer:
+    """Words near a term that the sample's harmless texts use no longer meet it; other near hits, and documents without any
+    hit, get the weight that the sample gives them."""
+    near_words = lambda x: {w.strip(EDGE) for w in scorer.terms(set(x.split())) if scorer.hits[w][1] == NEAR}
+    seen = _counted(sample, near_words)
+    scorer.harmless = frozenset(w for w, y in seen if y == 0 and seen[w, 0] >= 2 and seen[w, 0] > seen[w, 1])
+    scorer.seen, scorer.hits = set(), {}
+
+    def kind(x: str) -> set[str]:
+        found = {k for _, k, _, _ in scorer.evidence(x)}
+        return {"none" if not found else "near" if found == {NEAR} else "sure"}
+
+    got = _counted(sample, kind)
+    share = lambda k, prior: (got[k, 1] + 4 * prior) / (got[k, 1] + got[k, 0] + 4)
+    scorer.near = min(0.9, share("near", 0.6))
     scorer.rest = min(0.25, share("none", 0.02))
     return scorer
 

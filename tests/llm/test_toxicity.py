@@ -45,6 +45,14 @@ def test_quotation_scores_lower():
     assert s.score("what an 1diot") > 0.3
 
 
+def test_common_harmless_words_near_a_term(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(6))
+    rows = [(0, " ".join([word() for _ in range(20)] + ["oron"])) for _ in range(50)] + [(1, " ".join([word() for _ in range(20)] + ["moron"])) for _ in range(20)]
+    s = X.learn(spark.createDataFrame(rows, "label int, body string"))
+    assert s.harmless == {"oron"} and s.score("an oron it is") < 0.3 and s.score("you m0ron") >= 0.3 and s.score("a stuped thing") >= 0.3
+
+
 def test_held_out_accuracy_and_isolation(spark, documents, write):
     rng, rows, labels = random.Random(4), [], []
     for i in range(600):
