@@ -337,3 +337,20 @@ def test_fusion_weights(spark):
     w = learn.train_fusion(df.drop("loss"), {"acoustic": 0.5, "lexical": 0.5}, ("acoustic",), epochs=60)
     assert sum(w.values()) == pytest.approx(1) and w["acoustic"] >= 0.72 - 1e-9
     assert list(learn.on_simplex(np.array([2.0, 0.0]))) == [1.0, 0.0]
+
+
+def test_document_beam(spark):
+    from quillspark.operators import deliberate as D
+
+    unit = "array<struct<start:bigint,end:bigint,text:string>>"
+    kind = f"doc long, window int, option string, retained boolean, changed boolean, generated boolean, start long, end long, delta double, audio double, units {unit}"
+    say = lambda *xs: [dict(start=a, end=b, text=t) for a, b, t in xs]
+    rows = [
+        (1, 0, "k0", True, False, False, 0, 100, 0.0, 0.5, say((0, 80, "head"), (80, 100, "shared"))), (1, 0, "x0", False, True, False, 0, 100, 0.4, 0.5, say((0, 80, "head"), (80, 100, "zzzzzz"))),
+        (1, 1, "k1", True, False, False, 80, 180, 0.0, 0.5, say((80, 100, "shared"), (100, 180, "tail"))), (1, 1, "x1", False, True, False, 80, 180, 0.3, 0.5, say((80, 100, "shared"), (100, 180, "other"))),
+        (1, 1, "y1", False, True, False, 80, 180, 9.0, 0.0, say((80, 100, "shared"))),
+    ]
+    got = D.decode_document(spark.createDataFrame(rows, kind)).first()
+    # x0 no longer agrees with its neighbour where they overlap, y1 lost its audio support.
+    assert got.path == ["k0", "x1"] and got.changed == 1 and got.status == "accepted" and got.score == pytest.approx(100 / 200 * 0.3 - 0.02)
+    assert D.overlap_similarity(say((0, 5, "ab")), say((0, 5, "a b!")), 0, 5, 2) == 1.0 and D.overlap_similarity(say((0, 5, "a")), say((0, 5, "a")), 0, 5, 2) is None
