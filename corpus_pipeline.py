@@ -1,7 +1,8 @@
 """From raw documents to token ids: quality, common lines, near copies, mixing of sources, encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last return the
-columns of ``documents``, whatever others come along.
+columns of ``documents``, whatever others come along. A row without a doc_id can't be followed through the stages and
+leaves at the first; null texts count as empty.
 """
 
 from __future__ import annotations
