@@ -52,7 +52,8 @@ def bag_min_hash(h: np.ndarray, d: np.ndarray, c: np.ndarray, n: int, m: int) ->
     The weight axis is cut into the dyadic blocks [0,1), [1,2), [2,4), [4,8)...; each element has a Poisson process
     over (time, weight, component) in every block, the same whatever the element's weight, and owns those points
     that lie below its weight. A component's value is the earliest point that any element of the set owns. Points
-    are drawn in order of time, and an element stops as soon as no component of its set could be improved.
+    are drawn in order of time, and an element stops as soon as no component of its set could be improved. A set's
+    signature is the same to the last bit whatever other sets are signed with it.
     """
     sig = np.full((n, m), np.inf)
     blocks = [(0, np.ones(len(h), dtype=bool))]
@@ -68,7 +69,9 @@ def bag_min_hash(h: np.ndarray, d: np.ndarray, c: np.ndarray, n: int, m: int) ->
     while len(doc):
         steps = int(np.clip(1 + 200_000 // (8 * len(doc)), 1, 512))
         key = T.mix(seed[:, None] + (np.arange(drawn + 1, drawn + steps + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))[None, :])
-        at = time[:, None] + np.cumsum(-np.log(((key >> _U(11)).astype(float) + 0.5) * 2.0**-53), axis=1) / (width[:, None] * m)
+        at = -np.log(((key >> _U(11)).astype(float) + 0.5) * 2.0**-53) / (width[:, None] * m)
+        at[:, 0] += time
+        np.cumsum(at, axis=1, out=at)  # one by one in order of drawing: the sums don't depend on ``steps``
         other = T.mix(key ^ _U(0x5851F42D4C957F2D))
         where = doc[:, None] * m + (((other >> _U(32)) * _U(m)) >> _U(32)).astype(np.int64)
         owned = (other & _U(0xFFFFFFFF)).astype(float) * 2.0**-32 < part[:, None]

@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from quillspark.llm import near_dedup as N
 
@@ -84,3 +85,17 @@ def test_signatures_estimate_weighted_jaccard():
     m = 4000
     sig = N.bag_min_hash(np.concatenate([h, h]), np.repeat([0, 1], 60), np.concatenate([a, b]), 2, m)
     assert abs((sig[0] == sig[1]).mean() - want) < 4 * (want * (1 - want) / m) ** 0.5
+
+
+def test_band_keys_do_not_depend_on_the_batch():
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(rng.choice([1, 3, 40, 200, 900]))) for _ in range(600)]
+    texts[5] = "a b c d e " * 3000
+
+    def keys(some):
+        k, offsets = N.band_keys(pa.array(some), N.BANDS, N.ROWS, N.SHINGLE)
+        return [k[a:z].tolist() for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
+
+    full = keys(texts)
+    assert full[:40] == keys(texts[:40])
+    assert full[:40] == [keys([t])[0] for t in texts[:40]]
