@@ -12,7 +12,7 @@ from quillspark.streaming import sessions
 
 
 def nfkc_keys(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, 200).alias("t"))
+    d = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     return d.select("doc_id", K.nfkc_column("t").alias("nfkc"), K.lenient_key_column("t").alias("lenient"), K.surface_key_column("t").alias("surface"))
 
 
