@@ -40,7 +40,7 @@ def lattice_islands(spark, sf):
 
 
 def dtw(spark, sf):
-    e = table(spark, sf, "events").groupBy("user_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: (x["value"] % 10).cast("int")), 1, 20).alias("observed"))
+    e = table(spark, sf, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: (x["value"] % 10).cast("int")).alias("observed"))
     far = np.abs(np.subtract.outer(np.arange(10.0), np.arange(10.0)))
     return alignment.warped(e.withColumn("canonical", F.sort_array("observed")), far).select("user_id", "cost", "steps", "normalised")
 

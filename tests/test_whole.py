@@ -1,6 +1,12 @@
 """Registered queries cover whole texts and sequences."""
 
+import datetime
+import random
+
+import numpy as np
+
 from quillspark.functions import kernels as K
+from quillspark.operators import alignment
 from quillspark.plans import kernel_queries
 
 
@@ -11,3 +17,13 @@ def test_keys_of_whole_texts(spark, tmp_path):
     got = {r.doc_id: (r.nfkc, r.lenient, r.surface) for r in kernel_queries.nfkc_keys(spark, str(tmp_path)).collect()}
     assert got == {i: (K.nfkc(t or ""), K.lenient_key(t or ""), K.surface_key(t or "")) for i, t in texts.items()}
     assert all(a != b for a, b in zip(got[1], got[2], strict=True))
+
+
+def test_warping_of_whole_sequences(spark, tmp_path):
+    rng = random.Random(4)
+    values = {u: [rng.random() * 100 for _ in range(n)] for u, n in {1: 1, 2: 20, 3: 90}.items()}
+    rows = [(u, datetime.datetime(2026, 1, 1) + datetime.timedelta(seconds=i), i, v) for u, vs in values.items() for i, v in enumerate(vs)]
+    spark.createDataFrame(rows, "user_id long, ts timestamp, event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.user_id: (r.cost, r.steps) for r in kernel_queries.dtw(spark, str(tmp_path)).collect()}
+    seen = {u: np.array([int(v % 10) for v in vs]) for u, vs in values.items()}
+    assert got == {u: alignment.warp(abs(np.subtract.outer(np.sort(x), x)).astype(float)) for u, x in seen.items()}
