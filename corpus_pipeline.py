@@ -34,15 +34,21 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near copies."""
-    first = near_duplicates(docs.select("doc_id", "text")).where("doc_id = class_id").select(F.col("doc_id").alias("first_id")).distinct()
-    return docs.select(COLUMNS).join(first, F.col("doc_id") == F.col("first_id"), "left_semi")
+    """One row of each group of near copies, that with the least id.
+
+    Rows are told apart by a 64-bit hash of id and text: repeated rows are one, an id with two texts is two documents.
+    """
+    rows = docs.where("doc_id is not null").select(*COLUMNS, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row_key"))
+    classes = near_duplicates(rows.select("row_key", "text"), id_col="row_key").select(F.col("doc_id").alias("class_key"), "class_id").distinct()
+    least = rows.select("doc_id", "row_key").join(classes, F.col("row_key") == F.col("class_key")).groupBy("class_id").agg(F.min(F.struct("doc_id", "row_key")).alias("least"))
+    kept = rows.join(least.select(F.col("least.row_key").alias("first_key")), F.col("row_key") == F.col("first_key"), "left_semi")
+    return kept.groupBy("row_key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: the words taken, in whole copies of the document, rounded."""
-    taken = mix(docs.select("doc_id", "text", "source")).where("size > 0").select(F.col("doc_id").alias("mix_id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("copies")).where("copies > 0")
-    return docs.select(COLUMNS).join(taken, F.col("doc_id") == F.col("mix_id")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(COLUMNS)
+    """Rows as often as the mix takes them: the words taken, in whole copies of the row, rounded."""
+    taken = mix(docs.where("doc_id is not null"), carry=tuple(COLUMNS)).where("size > 0").select("carried", F.round(F.col("taken") / F.col("size")).cast("int").alias("copies")).where("copies > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("carried.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,8 +65,8 @@ def sainte_lague(votes: list[float], seats: int) -> list[int]:
     return got
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """(doc_id, size, source_size, target, taken), a row for each row of ``docs``.
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, block_words: int = BLOCK_WORDS, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, source_size, target, taken), a row for each row of ``docs``; with ``carry`` also a struct of those columns, ``carried``.
 
     size: words of the text (null: 0). Sources in order of code points, null last, weigh ``weights`` in turn.
     Blocks of ``block_words`` words are given to sources by Sainte-Lague on their targets, and each source's blocks
@@ -75,11 +75,13 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
     Shards are hashes of ids, so a source with a third of all rows is many shards and no task sorts more than a
     shard. Documents without words take part with 0. Null ids share a shard. Rows that repeat an id are rows of
-    their own and tie by size. The result depends on the rows alone, not on how they are partitioned. The driver
+    their own and tie by size, then by what they carry. The result depends on the rows alone, not on how they are partitioned. The driver
     gets one row for each source and shard: at most MAX_SHARDS more rows than there are sources.
     """
     src = F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col).cast("string")))
-    sized = cut(docs.select(F.col(id_col).alias("id"), src.alias("src"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
+    row = [F.struct(*carry).alias("carried")] if carry else []
+    kept = ["carried"] if carry else []
+    sized = cut(docs.select(F.col(id_col).alias("id"), src.alias("src"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *row))
     sources = sorted(sized.groupBy("src").agg(F.count("*").alias("n"), F.sum("size").alias("words")).collect(), key=lambda r: (r.src[0], r.src[1:]))
     words = [int(r.words) for r in sources]
     goal = targets(words, [weights[i % len(weights)] for i in range(len(sources))], max_repeats)
@@ -99,12 +101,12 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
             quota.append((r.src, shard, n, min(q * block_words, max_repeats * n)))
     quotas = spark.createDataFrame(quota, "src string, shard int, shard_words long, quota long")
 
-    w = Window.partitionBy("src", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "id"), "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("src", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "id"), "id", "size", *kept).rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("size").over(w), F.lit(0))
     passes = F.when(F.col("shard_words") > 0, F.expr("quota div shard_words")).otherwise(F.lit(0))
     rest = F.when(F.col("shard_words") > 0, F.col("quota") % F.col("shard_words")).otherwise(F.lit(0))
     taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
-    return placed.join(quotas, ["src", "shard"]).withColumn("before", before).select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.join(quotas, ["src", "shard"]).withColumn("before", before).select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken.cast("long").alias("taken"), *kept)
 
 
 def op2_query(spark, sf_dir):

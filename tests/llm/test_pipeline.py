@@ -32,3 +32,17 @@ def test_extra_columns_and_nulls(spark, edges, sf):
     for _, stage in corpus_pipeline.STAGES[1:-1]:
         docs = spark.createDataFrame(stage(spark, docs, sf).collect(), "doc_id long, text string, lang string, source string, n_chars long")
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == docs.count()
+
+
+def test_near_keeps_one_row_of_each_class(spark, documents, sf):
+    one, other = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    docs = documents([(4, one, "s"), (4, one, "s"), (4, one, "s"), (5, other, "s"), (5, one + " end", "s"), (6, other, "s"), (7, "alone", "s"), (7, "alone", "s")])
+    got = corpus_pipeline.near(spark, docs, sf).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(4, one), (5, other), (7, "alone")]
+
+
+def test_mix_emits_rows_not_ids(spark, documents, sf):
+    a, b, c = ("x " * 16, "y " * 16, "z " * 16)
+    rows = [(1, a, "s"), (1, a, "s"), (1, a, "s"), (1, a, "s"), (1, b, "s"), (2, c, "s")]
+    got = corpus_pipeline.mixed(spark, documents(rows), sf).collect()
+    assert sorted((r.doc_id, r.text, r.source) for r in got) == rows
