@@ -7,26 +7,35 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import phrase_similarity
 
-#: A catalogue has at most this many entries; larger ones are refused, since every query meets every entry.
+#: A catalogue of at most this many entries is broadcast; a larger one is dealt into blocks of about so many.
 MAX_ENTRIES = 100_000
+#: Queries that meet a block of a dealt catalogue in one task, about.
+TILE_QUERIES = 1_000
 
 
 def select(queries: DataFrame, entries: DataFrame, *, limit: int = 10, minimum: float = 0.5, tags: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, entry_id, phrase, score, surface, position): each query's best entries at or above ``minimum``.
 
     ``queries``: (query_id, query, reading); ``entries``: (entry_id, phrase, aliases, reading, tags, priority), all texts
-    folded already. An entry must have every tag asked for. Order: score, priority, entry_id. The catalogue is
-    broadcast: its size is bounded by MAX_ENTRIES, which is checked.
+    folded already. An entry must have every tag asked for. Order: score, priority, entry_id. A catalogue
+    of up to MAX_ENTRIES is broadcast; of a larger one, every block of entries meets every part of the queries.
     """
-    n = entries.limit(MAX_ENTRIES + 1).count()
-    if n > MAX_ENTRIES:
-        raise ValueError(f"a catalogue has at most {MAX_ENTRIES} entries")
+    n = entries.count()
     if tags:
         entries = entries.where(F.size(F.array_except(F.array(*[F.lit(t) for t in tags]), "tags")) == 0)
     surfaces = entries.select("entry_id", "phrase", "priority", F.explode(F.concat(F.array(F.struct(F.lit(False).alias("phonetic"), F.col("phrase").alias("surface"))), F.transform("aliases", lambda a: F.struct(F.lit(False).alias("phonetic"), a.alias("surface"))), F.array(F.struct(F.lit(True).alias("phonetic"), F.coalesce("reading", F.lit("")).alias("surface"))))).alias("s")).select("entry_id", "phrase", "priority", "s.*").where("surface <> ''")
     asked = queries.where(F.length("query") > 0)
     plain, spoken = phrase_similarity(F.col("query"), F.col("surface")), phrase_similarity(F.coalesce("reading", F.lit("")), F.col("surface"), phonetic=True)
-    scored = asked.join(F.broadcast(surfaces)).withColumn("score", F.when(F.col("phonetic"), spoken).otherwise(plain)).where(F.col("score") >= minimum)
+    if n <= MAX_ENTRIES:
+        met = asked.join(F.broadcast(surfaces))
+    else:
+        blocks, parts = -(-n // MAX_ENTRIES), max(1, -(-asked.count() // TILE_QUERIES))
+        every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+        dealt = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+        left = asked.withColumn("part", dealt("query_id", parts)).withColumn("block", every(blocks))
+        right = surfaces.withColumn("block", dealt("entry_id", blocks)).withColumn("part", every(parts))
+        met = left.join(right, ["block", "part"]).drop("block", "part")
+    scored = met.withColumn("score", F.when(F.col("phonetic"), spoken).otherwise(plain)).where(F.col("score") >= minimum)
     best = scored.groupBy("query_id", "entry_id", "phrase", "priority").agg(F.max(F.struct("score", (~F.col("phonetic")).alias("p"), "surface")).alias("b"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("b.score"), F.desc("priority"), "entry_id"))
     return best.withColumn("position", rank).where(F.col("position") <= limit).select("query_id", "entry_id", "phrase", F.col("b.score").alias("score"), F.col("b.surface").alias("surface"), "position")

@@ -6,8 +6,8 @@ import random
 import numpy as np
 
 from quillspark.functions import kernels as K
-from quillspark.operators import alignment
-from quillspark.plans import kernel_queries
+from quillspark.operators import alignment, context
+from quillspark.plans import kernel_queries, measure_queries
 
 
 def test_keys_of_whole_texts(spark, tmp_path):
@@ -27,3 +27,10 @@ def test_warping_of_whole_sequences(spark, tmp_path):
     got = {r.user_id: (r.cost, r.steps) for r in kernel_queries.dtw(spark, str(tmp_path)).collect()}
     seen = {u: np.array([int(v % 10) for v in vs]) for u, vs in values.items()}
     assert got == {u: alignment.warp(abs(np.subtract.outer(np.sort(x), x)).astype(float)) for u, x in seen.items()}
+
+
+def test_large_catalogue_in_blocks(spark, sf, monkeypatch):
+    want = sorted(map(tuple, measure_queries.catalog_dice_topk(spark, sf).collect()))
+    monkeypatch.setattr(context, "MAX_ENTRIES", 30)
+    monkeypatch.setattr(context, "TILE_QUERIES", 1)
+    assert want and sorted(map(tuple, measure_queries.catalog_dice_topk(spark, sf).collect())) == want
