@@ -102,13 +102,19 @@ class Coder:
             self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM _given")
             self.con.unregister("_given")
         self.ids: dict[str, bytes] = {}
-        self.odd: dict[str, bytes] = {}  # decoded bytes that aren't the word's own; none, if the vocabulary is sound
+        by_id = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            by_id[rank] = token
+        self.tokens = pa.array(by_id, pa.large_binary())
 
     def learn(self, words: set[str]) -> None:
-        """Encode and decode, by the recursive query, those of the words that aren't kept from before."""
+        """Encode, by the recursive query, those of the words that aren't kept from before.
+
+        The query also decodes what it encoded; a word that doesn't come back is an error of the vocabulary and raises.
+        """
         missing = words - self.ids.keys()
         if len(self.ids) + len(missing) > self.limit:
-            self.ids, self.odd, missing = {}, {}, words
+            self.ids, missing = {}, words
         short, long = [x for x in missing if len(x) <= LONG // 4], [x for x in missing if len(x) > LONG // 4]
         raw = [x.encode() for x in long]
         short += [x for x, r in zip(long, raw, strict=True) if len(r) <= LONG]
@@ -116,16 +122,20 @@ class Coder:
         for query, own in ((ENCODE, short), (ENCODE_LONG, long)):
             for at in range(0, len(own), 200_000):
                 part = own[at : at + 200_000]
-                for x, (ids, decoded) in zip(part, self._encode([x.encode() for x in part], query), strict=True):
+                raw = [x.encode() for x in part]
+                for x, own, (ids, decoded) in zip(part, raw, self._encode(raw, query), strict=True):
+                    if decoded != own:
+                        raise ValueError(f"{x!r} decodes to {decoded!r}; the vocabulary isn't whole")
                     self.ids[x] = ids
-                    if decoded != x.encode():
-                        self.odd[x] = decoded
 
     def _encode(self, words: list[bytes], query: str) -> list[tuple[bytes, bytes]]:
         n = np.array([1 if x in self.ranks else len(x) for x in words])
         tokens = [np.array([self.ranks[x]], dtype=np.int32) if x in self.ranks else self.byte[np.frombuffer(x, dtype=np.uint8)] for x in words]
         p = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        rows = pa.table({"w": pa.array(np.repeat(np.arange(len(words)), n), pa.int32()), "p": pa.array(p, pa.int32()), "t": pa.array(np.concatenate(tokens))})
+        t = np.concatenate(tokens)
+        if (t < 0).any():
+            raise ValueError(f"no token for byte {next(x[i] for x, i in zip(np.repeat(np.array(words, dtype=object), n)[t < 0], p[t < 0], strict=True))}")
+        rows = pa.table({"w": pa.array(np.repeat(np.arange(len(words)), n), pa.int32()), "p": pa.array(p, pa.int32()), "t": pa.array(t)})
         self.con.register("words", rows)
         got = self.con.sql(query).to_arrow_table()
         self.con.unregister("words")
@@ -136,6 +146,14 @@ class Coder:
             out[w] = flat[first[i] : first[i + 1]], bytes.fromhex(h)
         return out
 
+    def decode(self, ids: list[bytes]) -> list[bytes]:
+        """The bytes that each document's ids stand for, in the order of the ids."""
+        flat = np.frombuffer(b"".join(ids), dtype="<i4")
+        got = self.tokens.take(pa.array(flat, pa.int32()))
+        raw = got.buffers()[2].to_pybytes() if len(flat) else b""
+        ends = np.frombuffer(got.buffers()[1], dtype=np.int64)[np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)])] if len(flat) else np.zeros(len(ids) + 1, dtype=np.int64)
+        return [raw[a:z] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
     def run(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
         ids, decoded, at = [], [], 0
         while at < len(texts):
@@ -145,9 +163,9 @@ class Coder:
                 end += 1
             pieces = [self.split(x) for x in texts[at:end]]
             self.learn(set().union(*pieces))
-            for own in pieces:
-                ids.append(b"".join(map(self.ids.__getitem__, own)))
-                decoded.append(b"".join(self.odd.get(x) or x.encode() for x in own) if self.odd else "".join(own).encode())
+            own = [b"".join(map(self.ids.__getitem__, x)) for x in pieces]
+            ids += own
+            decoded += self.decode(own)
             at = end
         return ids, decoded
 
@@ -161,7 +179,9 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, *, id_col: str = "doc_
 
     ids: token ids as little-endian unsigned 32-bit integers. decoded: the bytes that those ids stand for. Each match
     of ``pattern`` is encoded by itself; a match that is a token keeps it whole. Null and empty texts have no tokens.
-    Ids may be null or repeat. Texts are taken whole, however long; a word costs its length times its distinct ranks.
+    Ids may be null or repeat, and empty tables give no rows; columns beside those named aren't read, whatever their names.
+    Texts are taken whole, however long; a word costs its length times its distinct ranks. ``decoded`` is read from the
+    document's ids; a vocabulary without a token for a byte that occurs, or that doesn't give a word back, raises.
     The driver reads the rank file and ships its tokens and pairs (under 10 MB for a vocabulary of 50,000).
     """
     ranks = read_ranks(rank_file)

@@ -44,10 +44,27 @@ def test_small_cache(both, monkeypatch):
 def test_query(spark, documents, write, both):
     from conftest import EDGES  # noqa: F401
 
-    rows = [(i, t if t is None else t[:5000], s) for i, t, s in EDGES]
+    rows = EDGES
     got = B.op10_query(spark, write(documents=documents(rows))).collect()
     want = []
     for i, t, _ in rows:
         ids = np.array(both[1].encode_ordinary(t or ""), "<u4").tobytes()
         want.append((i, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_a_vocabulary_that_lacks_a_byte_raises():
+    ranks = {b"a": 0, b"b": 1, b"ab": 2, b" ": 3}
+    coder = B.Coder(ranks, B.merge_table(ranks), r"\S+|\s+")
+    assert coder.run(["ab a"]) == ([np.array([2, 3, 0], "<u4").tobytes()], [b"ab a"])
+    with pytest.raises(ValueError, match="byte"):
+        coder.run(["abz z"])
+
+
+def test_empty_table(spark, documents):
+    assert B.encode(documents([]).where("false"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
+
+
+def test_decoding_reads_the_ids(both):
+    ids, _ = both[0].run(["first text", "", "second"])
+    assert both[0].decode(ids[::-1]) == [b"second", b"", b"first text"]
