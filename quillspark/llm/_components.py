@@ -14,6 +14,7 @@ def components(edges: DataFrame, *, max_rounds: int = 200) -> DataFrame:
     Each round gives every id the least label among its neighbours and then follows the labels one step further, so
     chains shorten geometrically. Labels are written to the shared folder between rounds. The label of a hub reaches
     its neighbours in a join that adaptive execution can split, and minima are taken with map-side partial results.
+    Labels that haven't settled after ``max_rounds`` raise.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both, both_path = cut(both, keep_path=True)
@@ -33,5 +34,7 @@ def components(edges: DataFrame, *, max_rounds: int = 200) -> DataFrame:
         labels, path = new.select("id", "comp"), new_path
         if not moved:
             break
+    else:
+        raise RuntimeError(f"labels still move after {max_rounds} rounds")
     remove(edges.sparkSession, both_path)
     return labels

@@ -99,3 +99,30 @@ def test_band_keys_do_not_depend_on_the_batch():
     full = keys(texts)
     assert full[:40] == keys(texts[:40])
     assert full[:40] == [keys([t])[0] for t in texts[:40]]
+
+
+def test_any_split_of_a_table_gives_the_same_classes(spark, documents):
+    rng, texts = random.Random(21), {}
+    for f in range(40):
+        base = [f"f{f}w{rng.randrange(300)}" for _ in range(rng.choice([40, 100, 400]))]
+        texts[len(texts)] = " ".join(base)
+        texts[1000 + f] = edited(base, rng, 1 if len(base) < 100 else 2)
+    want = components(texts)
+    rows = [(i, t, "s") for i, t in texts.items()]
+    originals, copies = documents([r for r in rows if r[0] < 1000]), documents([r for r in rows if r[0] >= 1000])
+    layouts = [documents(rows).coalesce(1), documents(rows).repartition(23), originals.coalesce(1).union(copies.repartition(17))]
+    got = [{r.doc_id: r.class_id for r in N.near_duplicates(x).collect()} for x in layouts]
+    assert got[0] == got[1] == got[2]
+    assert np.mean([got[0][i] == want[i] for i in want]) >= 0.99
+
+
+def test_unsettled_labels_raise(spark):
+    from quillspark.llm._components import components as labels
+
+    chain = spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long")
+    assert {r.comp for r in labels(chain).collect()} == {0}
+    try:
+        labels(chain, max_rounds=1)
+    except RuntimeError:
+        return
+    raise AssertionError
