@@ -7,19 +7,17 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm import _text as T
 from quillspark.llm._common import crc_mod, cut, load
-from quillspark.llm.near_dedup import shingles
+from quillspark.llm.near_dedup import near_duplicates
 
 #: Labelled training rows that terms and their weights are learnt from, at most, of each label: those of least hash.
 SAMPLE_ROWS = 8_000
-#: Terms learnt at most, and candidates that the driver weighs for them.
-MAX_TERMS, MAX_CANDIDATES = 3_000, 60_000
+#: Bytes of lexicon and harmless words that are shipped to tasks; more is an error.
+MAX_SHIPPED = 256 << 20
 #: Words that a task remembers as harmless before it starts anew.
 SEEN_WORDS = 400_000
 WINDOW = 6
@@ -207,38 +205,25 @@ class Scorer:
 
 
 def _features(text: str) -> set[str]:
-    """Words, and with a * the beginnings of 4 to 7 letters of longer words."""
+    """Words of two letters or more (those under five are only met as they are), and with a * the beginnings of 4 to 7
+    letters of longer words."""
     out = set()
     for raw in set(text.lower().split()):
         w = raw.strip(EDGE)
-        if len(w) >= 4:
+        if len(w) >= 2:
             out.add(w)
             out.update(w[:n] + "*" for n in range(4, min(8, len(w))))
     return out
 
 
-def _likelihood_gain(tox: int, non: int, n_tox: int, n_non: int) -> float:
-    """Log likelihood ratio of the term's two rates against one common rate."""
-    def part(k: float, n: float, p: float) -> float:
-        return (k * math.log(p) if k else 0) + ((n - k) * math.log(1 - p) if n - k else 0)
+def _gain(k: Column, other: Column, n_tox: int, n_non: int) -> Column:
+    """Log likelihood ratio of a term's two rates against one common rate."""
+    def part(hits: Column, n: int, rate: Column) -> Column:
+        log = lambda x: F.log(F.greatest(x, F.lit(1e-300)))
+        return hits * log(rate) + (F.lit(n) - hits) * log(1 - rate)
 
-    both = (tox + non) / (n_tox + n_non)
-    if both in (0, 1):
-        return 0.0
-    one = lambda k, n: part(k, n, min(max(k / n, 1e-12), 1 - 1e-12))
-    return one(tox, n_tox) + one(non, n_non) - part(tox, n_tox, both) - part(non, n_non, both)
-
-
-def _without_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, body) -> (label, body, key): the least hash of the text's runs of five words, which near copies share."""
-    for b in batches:
-        keys = []
-        for a, z, data, offsets in T.spans(b.column(1)):
-            h, d = shingles(data, offsets)
-            least = np.full(z - a, np.iinfo(np.uint64).max, dtype=np.uint64)
-            np.minimum.at(least, d, T.mix(h))
-            keys.append(least.view(np.int64))
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], ["label", "body", "key"])
+    both = (k + other) / (n_tox + n_non)
+    return part(k, n_tox, k / n_tox) + part(other, n_non, other / n_non) - part(k, n_tox, both) - part(other, n_non, both)
 
 
 def learn(sample: DataFrame, *, min_precision: float = 0.75, min_gain: float = 3.0, min_docs: int = 3) -> Scorer:
@@ -249,42 +234,33 @@ def learn(sample: DataFrame, *, min_precision: float = 0.75, min_gain: float = 3
     if not n_tox or not n_non:
         return base
 
-    def counts(only: frozenset | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: Counter[str] = Counter()
-            for b in batches:
-                for x in b.column(0).to_pylist():
-                    f = _features(x or "")
-                    total.update(f if only is None else f & only)
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
-
-        return run
-
-    toxic = sample.where("label = 1").select("body").mapInArrow(counts(None), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    tox = {r.term: r.n for r in toxic.where(F.col("n") >= min_docs).orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES).collect()}
-    non = {r.term: r.n for r in sample.where("label = 0").select("body").mapInArrow(counts(frozenset(tox)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    needed = min_gain + math.log(1 + len(tox))  # the more terms are tried, the more a term has to show
-    gained = {}
-    for t, k in tox.items():
-        other = non.get(t, 0)
-        precision = (k + 0.3) / (k + 0.6 + other)
-        if precision >= min_precision and (g := _likelihood_gain(k, other, n_tox, n_non)) >= needed:
-            gained[t] = (g, precision, k)
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for label, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = list(_features(x or ""))
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([label] * len(own), pa.int32())], ["term", "label"])
+
+    one = lambda y: F.sum(F.when(F.col("label") == y, 1).otherwise(0))
+    terms = cut(sample.select("label", "body").mapInArrow(features, "term string, label int").groupBy("term").agg(one(1).alias("k"), one(0).alias("other")).where(F.col("k") >= min_docs))
+    needed = min_gain + math.log(1 + terms.count())  # the more terms are tried, the more a term has to show
+    precision = (F.col("k") + 0.3) / (F.col("k") + 0.6 + F.col("other"))
+    passed = terms.select("term", "k", precision.alias("precision"), _gain(F.col("k"), F.col("other"), n_tox, n_non).alias("gain")).where((F.col("precision") >= min_precision) & (F.col("gain") >= needed))
+    gained = {r.term: (r.gain, r.precision, r.k) for r in passed.collect()}
     whole = {t: v for t, v in gained.items() if not t.endswith("*")}
     stems: dict[str, float] = {}
     for t in sorted((t for t in gained if t.endswith("*")), key=lambda t: (len(t), t)):
         s, k = t[:-1], gained[t][2]
-        if any(s.startswith(x) for x in stems) or any(w.startswith(s) and v[2] >= 0.7 * k for w, v in whole.items()):
+        if any(s[:n] in stems for n in range(4, len(s))) or any(w.startswith(s) and v[2] >= 0.7 * k for w, v in whole.items()):
             continue
         stems[s] = gained[t][1]
-    words = {w: v[1] for w, v in sorted(whole.items(), key=lambda x: (-x[1][0], x[0]))[:MAX_TERMS] if not any(w.startswith(s) for s in stems)}
-    stems = dict(list(stems.items())[:MAX_TERMS])
-    scorer = Scorer({x: 0.8 for x in SEEDS if tox.get(x, 0) + non.get(x, 0) == 0 or x in words} | words, stems)
+    words = {w: v[1] for w, v in sorted(whole.items()) if not any(w[:n] in stems for n in range(4, len(w) + 1))}
+    harmless = {r.term for r in sample.where("label = 0").select("label", "body").mapInArrow(features, "term string, label int").where(F.col("term").isin(SEEDS)).groupBy("term").count().where("count >= 2").collect()}
+    scorer = Scorer({x: 0.8 for x in SEEDS if x not in harmless} | words, stems)
     return _weigh(sample, scorer)
 
 
 def _counted(sample: DataFrame, of) -> Counter:
-    """(key, label) to documents: ``of(text)`` gives each document's keys; the commonest MAX_CANDIDATES keys."""
+    """(key, label) to documents: ``of(text)`` gives each document's keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[tuple] = Counter()
@@ -294,7 +270,7 @@ def _counted(sample: DataFrame, of) -> Counter:
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in total], pa.string()), pa.array([y for _, y in total], pa.int32()), pa.array(list(total.values()), pa.int64())], ["key", "label", "n"])
 
     per = sample.select("label", "body").mapInArrow(run, "key string, label int, n long").groupBy("key", "label").agg(F.sum("n").alias("n"))
-    return Counter({(r.key, r.label): r.n for r in per.orderBy(F.desc("n"), "key", "label").limit(MAX_CANDIDATES).collect()})
+    return Counter({(r.key, r.label): r.n for r in per.collect()})
 
 
 def _weigh(sample: DataFrame, scorer: Scorer) -> Scorer:
@@ -320,17 +296,23 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, folds: int = 4, held_
     """(doc_id, held_out, score, predicted), a row for each row of ``docs``.
 
     Terms and weights come from at most ``sample_rows`` rows of each label among those whose crc32(doc_id) modulo
-    ``folds`` isn't ``held_out``: the rows with the least hash of doc_id, of near copies among them one. A score sees the text alone. Null text
-    scores as the empty text, as a document without hits. Labels that are null or not 0 or 1 are passed over. A null
-    id is in no fold, so never held out. Without labels of both kinds a fixed list of insults is the lexicon.
-    Texts are read whole. The lexicon shipped to tasks has at most MAX_TERMS words and as many stems.
+    ``folds`` isn't ``held_out``: the rows with the least hash of doc_id. Of a class of near copies (as
+    ``near_duplicates`` finds them in the sample) each label counts once: copies say no more than one of them. A score
+    sees the text alone. Null text scores as the empty text, as a document without hits. Labels that are null or not
+    0 or 1 are passed over. A null id is in no fold, so never held out. Without labels of both kinds a fixed list of
+    insults is the lexicon; its words stay in the learnt one unless two harmless texts of the sample hold them. Empty
+    tables give no rows; columns beside those named aren't read, whatever their names. Texts are read whole. What is
+    learnt is selected by Spark and bounded by the sample; the lexicon that tasks get may have MAX_SHIPPED bytes, more raises.
     """
     given = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("body"))
     y = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("label")).where(F.col("label").isin(0, 1) & (crc_mod(F.col("id"), folds) != held_out))
     picked = [y.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(sample_rows) for k in (0, 1)]
-    sample = given.join(picked[0].union(picked[1]), "id").select("label", "body").mapInArrow(_without_copies, "label int, body string, key long")
-    sample = cut(sample.groupBy("label", "key").agg(F.min("body").alias("body")).select("label", "body"))
+    sample = cut(given.join(picked[0].union(picked[1]), "id").select(F.xxhash64("id", "body", "label").alias("row"), "label", "body"))
+    classes = near_duplicates(sample, id_col="row", text_col="body").select(F.col("doc_id").alias("row"), "class_id").distinct()
+    sample = cut(sample.join(classes, "row").groupBy("class_id", "label").agg(F.min(F.struct("row", "body")).alias("first")).select("label", F.col("first.body").alias("body")))
     scorer = learn(sample)
+    if sum(100 + len(x) for kind in (scorer.words, scorer.stems, scorer.harmless) for x in kind) > MAX_SHIPPED:
+        raise ValueError(f"the lexicon is over {MAX_SHIPPED} bytes; give a smaller sample_rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

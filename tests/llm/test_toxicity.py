@@ -78,3 +78,15 @@ def test_edges(spark, edges, documents):
     got = X.score_documents(edges, none).collect()
     assert len(got) == 10 and not any(r.predicted for r in got)
     assert X.score_documents(documents([]).where("false"), none).count() == 0
+
+
+def test_near_copies_count_once_and_short_terms_are_learnt(spark, documents):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(6))
+    rows = [(i, " ".join([word() for _ in range(30)] + (["zqx"] if i % 4 == 0 else [])), "s") for i in range(400)]
+    rows += [(1000 + i, rows[1][1] + " copied", "s") for i in range(30)]
+    y = spark.createDataFrame([(i, 1, int(i % 4 == 0 or i >= 1000)) for i, _, _ in rows], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in X.score_documents(documents(rows), y).collect()}
+    assert np.mean([got[i].predicted == (i % 4 == 0) for i in range(400)]) > 0.98
+    again = {r.doc_id: r.score for r in X.score_documents(documents(rows).repartition(9), y).collect()}
+    assert all(again[i] == got[i].score for i in got)
