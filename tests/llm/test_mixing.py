@@ -5,7 +5,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillspark.llm.mixing import mix, op2_query, sainte_lague, targets
+from quillspark.llm import mixing
+from quillspark.llm.mixing import capped, mix, op2_query, sainte_lague, targets
 
 
 def by_quotients(votes, seats):
@@ -58,3 +59,36 @@ def test_edges(edges, documents):
     assert len(got) == 10 and all(r.taken <= 3 * r["size"] for r in got)
     assert mix(documents([]).where("false")).count() == 0
     assert [r.taken for r in mix(documents([(1, None, None), (2, "", "a")])).collect()] == [0, 0]
+
+
+@given(st.lists(st.tuples(st.integers(0, 50), st.integers(0, 30)), min_size=1, max_size=8), st.integers(0, 80))
+@settings(max_examples=150, deadline=None)
+def test_what_full_shards_leave_is_dealt_on(parties, seats):
+    votes, most = [float(v) for v, _ in parties], [m if v else 0 for v, m in parties]
+    got = capped(votes, seats, most)
+    assert all(0 <= g <= m for g, m in zip(got, most)) and sum(got) == min(seats, sum(most))
+    if seats <= sum(most) and all(g < m for g, m in zip(got, most)):
+        assert got == sainte_lague(votes, seats)
+
+
+def test_many_sources_and_repeats(spark, documents, monkeypatch):
+    rng = random.Random(8)
+    rows = [(rng.randrange(40) if i % 5 else None, "w " * rng.randrange(0, 90), f"s{rng.randrange(30):02}") for i in range(900)]
+    few = sorted(map(tuple, mix(documents(rows)).collect()), key=str)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
+    assert sorted(map(tuple, mix(documents(rows).repartition(5)).collect()), key=str) == few
+    assert all(t <= 3 * size for _, size, _, _, t in few)
+
+
+def test_taken_by_document(documents):
+    """One shard a source: its stream in the seeded order, passes and a rest, held against plain Python."""
+    rows = [(i, "w " * (i % 23), "ab"[i % 2]) for i in range(200)]
+    got = mix(documents(rows)).collect()
+    for s, k in (("a", 0), ("b", 1)):
+        own = [r for r in got if r.doc_id % 2 == k]
+        quota, words = sum(r.taken for r in own), sum(r["size"] for r in own)
+        assert abs(quota - own[0].target) <= 16
+        full, rest = divmod(quota, words)
+        extra = [(r.taken - full * r["size"], r["size"]) for r in own]
+        assert sum(x for x, _ in extra) == rest and all(0 <= x <= size for x, size in extra)
+        assert sum(0 < x < size for x, size in extra) <= 1  # the stream is cut in one document
