@@ -16,13 +16,13 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, StringType
 
-# Kana that merge with the one before, the morae that they make, and marks that break words.
-SMALL_KANA = "ァィゥェォャュョヮ"
-_ROWS = {"ャュョ": "キシチニヒミリギジヂビピヴ", "ァ": "クグツファヴ", "ィ": "クグテデフヴスズツウ", "ゥ": "トド", "ェ": "クグシジチツフヴイウキニヒミリ", "ォ": "クグツフヴウ", "ヮ": "クグ"}
-COMBINATIONS = frozenset(head + small for smalls, heads in _ROWS.items() for small in smalls for head in heads) | {"テュ", "デュ", "フュ"}
-PUNCTUATION = frozenset(" 　、。，．・「」『』（）()[]【】!?！？…‥,.:;\"'")
-_DIGITS = {c: i for i, c in enumerate("〇一二三四五六七八九")}
-_UNITS = {"十": 10, "百": 100, "千": 1000}
+from quillspark.functions.kana import katakana, morae
+
+# Numeral characters, phrases that keep theirs, and the languages that write them.
+DIGITS = {"〇": 0, "零": 0, "一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9, "兩": 2, "两": 2}
+UNITS = {"千": 1000, "百": 100, "十": 10}
+KEPT_PHRASES = ("一番", "一緒", "一部", "四国", "九州", "十分", "一石二鳥", "二人三脚", "一体", "一旦", "一気", "七夕", "三味線", "二重", "十字架", "一杯")
+NUMERAL_LANGUAGES = ("ja", "zh", "yue")
 
 
 def nfkc(x: str) -> str:
@@ -42,25 +42,6 @@ def folded(x: str) -> str:
     return "".join(nfkc(x).split())
 
 
-def katakana(x: str) -> str:
-    return "".join(chr(ord(c) + 0x60) if "ぁ" <= c <= "ゖ" else c for c in nfkc(x))
-
-
-def morae(x: str) -> list[str]:
-    """Kana as morae; a small kana joins the one right before it if the two are a known pair."""
-    out: list[str] = []
-    joins = False
-    for c in katakana(x):
-        if c in PUNCTUATION or not "゠" <= c <= "ヿ":
-            joins = False
-        elif joins and c in SMALL_KANA and out[-1] + c in COMBINATIONS:
-            out[-1] += c
-        else:
-            out.append(c)
-            joins = True
-    return out
-
-
 def compression_ratio(x: str) -> float:
     raw = x.encode()
     return len(raw) / len(zlib.compress(raw)) if raw else 1.0
@@ -72,42 +53,66 @@ def pseudonym(x: str, secret: bytes) -> str:
     return "speaker-" + hmac.new(secret, x.encode(), hashlib.sha256).hexdigest()[:24]
 
 
-def _small_number(x: str) -> int | None:
-    """Up to 9999: digits with 十百千, or digits alone in places."""
-    if all(c in _DIGITS for c in x):
-        return int("".join(str(_DIGITS[c]) for c in x))
-    total, digit = 0, None
-    last = 10_000
-    for c in x:
-        if c in _DIGITS:
-            if digit is not None:
-                return None
-            digit = _DIGITS[c]
-        else:
-            if _UNITS[c] >= last:
-                return None
-            last = _UNITS[c]
-            total += (1 if digit is None else digit) * last
-            digit = None
-    return total + (digit or 0)
-
-
-_NUMERAL = re.compile("[〇一二三四五六七八九十百千]{2,}")
-
-
-def numerals(x: str, exclude: tuple[str, ...] = (), force: dict[str, str] | None = None) -> str:
-    """Kanji numerals of two or more characters to digits; 万 and 億 stay, so do single numerals and excluded phrases."""
+_D, _Z, _N = "".join(DIGITS), "〇零", "".join(c for c, v in DIGITS.items() if v)
+#: A run of numerals that is read as one, and its decimals.
+_NUMERAL = re.compile(f"[{_D}千百十万萬億]{{1,12}}(?:点[{_D}]{{1,10}})?")
+#: Thousands, hundreds and tens, each with a digit or alone, then ones; noughts may stand before a digit.
+_PLACES = re.compile("".join(f"(?:(?:[{_Z}]*([{_N}]))?({unit}))?" for unit in UNITS) + f"[{_Z}]*([{_N}])?")
+_PARTS = re.compile(f"(?:([{_D}千百十]*)(億))?(?:([{_D}千百十]*)([万萬]))?([{_D}千百十]*)")
+
+
+def _digits(x: str) -> str:
+    return "".join(str(DIGITS[c]) for c in x)
+
+
+def _below_ten_thousand(x: str) -> str | None:
+    """One segment as a number: by places if it has 千, 百 or 十, else digit by digit; nothing if it is ambiguous."""
+    if not any(u in x for u in UNITS):
+        return str(int(_digits(x))) if x else None
+    m = _PLACES.fullmatch(x)
+    if m is None:
+        return None
+    given = m.groups()
+    total = sum(UNITS[unit] * (DIGITS[digit] if digit else 1) for digit, unit in zip(given[0:6:2], given[1:6:2], strict=True) if unit)
+    return str(total + (DIGITS[given[6]] if given[6] else 0))
+
+
+def _written(x: str) -> str:
+    """A run of numerals in Arabic digits, 万 and 億 kept; as it is if it is a single numeral or ambiguous."""
+    whole, point, decimals = x.partition("点")
+    if len(x) == 1:
+        return x
+    if point:
+        plain = all(c in DIGITS for c in whole)
+        left = _digits(whole) if plain else _below_ten_thousand(whole) if any(u in whole for u in UNITS) else None
+        return x if left is None else f"{left}.{_digits(decimals)}"
+    m = _PARTS.fullmatch(x)
+    if m is None:
+        return x
+    first, oku, second, man, rest = m.groups()
+    if not oku and not man:
+        return (_below_ten_thousand(rest) or x) if any(u in rest for u in UNITS) else _digits(rest)
+    out = []
+    for segment, unit in ((first, oku), (second, man)):
+        if unit:
+            out += [_below_ten_thousand(segment) if segment else "1", unit]
+    if rest:
+        out.append(_below_ten_thousand(rest))
+    return x if None in out else "".join(out)
+
+
+def numerals(x: str, exclude: tuple[str, ...] = (), force: dict[str, str] | None = None, language: str = "ja") -> str:
+    """Kanji numerals to Arabic digits: 三千二百 as 3200, 四万人 as 4万人, 二点四 as 2.4, 一九四五年 as 1945年.
+
+    Single numerals stay, and so does what touches one of KEPT_PHRASES or of ``exclude``. ``force`` is replaced first,
+    literally. Languages other than NUMERAL_LANGUAGES are left as they are.
+    """
+    if language not in NUMERAL_LANGUAGES:
+        return x
     for k, v in (force or {}).items():
-        x = x.replace(k, v)
-    held = [m.span() for phrase in exclude for m in re.finditer(re.escape(phrase), x)]
-
-    def turn(m: re.Match) -> str:
-        if any(a < m.end() and m.start() < b for a, b in held):
-            return m.group()
-        n = _small_number(m.group())
-        return m.group() if n is None else str(n)
-
-    return _NUMERAL.sub(turn, x)
+        x = x.replace(k, v) if k else x
+    held = [m.span(1) for phrase in {*KEPT_PHRASES, *exclude} - {""} for m in re.finditer(f"(?=({re.escape(phrase)}))", x)]
+    return _NUMERAL.sub(lambda m: m.group() if any(a < m.end() and m.start() < b for a, b in held) else _written(m.group()), x)
 
 
 def opcodes(a: list[str], b: list[str]) -> list[tuple[str, int, int, int, int]]:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions import scores as S
 from quillspark.operators.grouped import map_groups
 
 SCHEMA = "group_id long, action_id string, selected boolean, used_ms long, step int"
-_COLUMNS = ["action_id", "island", "criticality", "gain", "cost_ms"]
 
 
 def greedy(actions: DataFrame, *, budget_ms: int = 12_000, most: int = 8, per_island: int = 2, minimum_utility: float = 4e-5) -> DataFrame:
@@ -31,27 +31,65 @@ def greedy(actions: DataFrame, *, budget_ms: int = 12_000, most: int = 8, per_is
     return out.select("group_id", F.posexplode("out").alias("step", "x")).select("group_id", "x.action_id", "x.selected", "x.used_ms", "step")
 
 
-def routed(actions: DataFrame, *, budget_ms: int = 12_000, most: int = 8, per_island: int = 2, duplicate_penalty: float = 0.45, priority: float = 0.3, minimum: float = 0.0) -> DataFrame:
-    """As ``greedy``, but what is left is scored anew after each pick: another action on a served island loses
-    ``duplicate_penalty`` for each there. Score: gain per second of cost plus ``priority`` times criticality."""
+# Weights of the router's bonuses and penalty, actions an island may get, least score.
+ROUTER = {"load": 0.18, "reward": 0.12, "priority": 0.30, "duplicate": 0.45, "per_island": 2, "minimum": 0.0}
+
+
+def update_router(state: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(kind, selections, reward_sum) after more (kind, reward) outcomes; rewards that are null or not finite don't count."""
+    fine = F.col("reward").isNotNull() & ~F.isnan("reward") & (F.abs("reward") < float("inf"))
+    new = outcomes.where(fine).select("kind", F.lit(1).cast("long").alias("selections"), F.col("reward").cast("double").alias("reward_sum"))
+    return state.select("kind", F.col("selections").cast("long"), F.col("reward_sum").cast("double")).union(new).groupBy("kind").agg(F.sum("selections").alias("selections"), F.sum("reward_sum").alias("reward_sum"))
+
+
+def route_scores(actions: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """Adds load, reward and priority bonuses and ``base``, their sum with the utility: the score without duplicates.
+
+    load: how far the kind's share of past selections lies below an equal share of the group's kinds, held to that
+    share on both sides; reward: the kind's mean reward; priority: criticality. ``state`` has a row a kind.
+    """
+    kinds = F.size(F.collect_set("kind").over(S.whole("group_id")))
+    rows = actions.withColumn("target", 1.0 / kinds)
+    if state is None:
+        rows = rows.withColumns({"selections": F.lit(0).cast("long"), "reward_sum": F.lit(0.0), "all": F.lit(0).cast("long")})
+    else:
+        total = state.agg(F.coalesce(F.sum("selections"), F.lit(0)).cast("long").alias("all"))  # one row
+        rows = rows.join(state.select("kind", "selections", "reward_sum"), "kind", "left").fillna({"selections": 0, "reward_sum": 0.0}).crossJoin(F.broadcast(total))
+    seen = F.when(F.col("all") > 0, F.col("selections") / F.col("all")).otherwise(F.col("target"))
+    below = F.greatest(-F.col("target"), F.least(F.col("target"), F.col("target") - seen))
+    reward = F.when(F.col("selections") > 0, F.col("reward_sum") / F.col("selections")).otherwise(F.lit(0.0))
+    rows = rows.withColumns({"load": ROUTER["load"] * below, "reward": ROUTER["reward"] * reward, "priority": ROUTER["priority"] * F.col("criticality")})
+    return rows.withColumn("base", F.col("utility") + F.col("load") + F.col("reward") + F.col("priority")).drop("target", "selections", "reward_sum", "all")
+
+
+def routed(actions: DataFrame, state: DataFrame | None = None, *, budget_ms: int = 12_000, most: int = 8) -> DataFrame:
+    """(group_id, action_id, selected, used_ms, step, score): the best action by score, criticality, cost and id is tried, then
+    the rest is scored anew, since each action that an island got takes ROUTER["duplicate"] from its others.
+
+    Tried actions that score too low, crowd their island or break the budget are passed over. What is left when ``most``
+    are selected follows by score. ``actions``: (group_id, action_id, kind, island, utility, criticality, cost_ms).
+    """
 
     def run(key, rows: list[dict]):
-        left, used, islands, out = rows, 0, {}, 0
-        taken = 0
+        left, used, taken, islands, step = rows, 0, 0, {}, 0
+        score = lambda a: a["base"] - ROUTER["duplicate"] * islands.get(a["island"], 0)
+        order = lambda a: (-score(a), -a["criticality"], a["cost_ms"], a["action_id"])
         while left and taken < most:
-            score = lambda a: a["gain"] / max(a["cost_ms"] / 1000, 1e-3) + priority * a["criticality"] - duplicate_penalty * islands.get(a["island"], 0)
-            a = min(left, key=lambda a: (-score(a), -a["criticality"], a["cost_ms"], a["action_id"]))
+            a = min(left, key=order)
             left = [x for x in left if x is not a]
-            fits = score(a) >= minimum and islands.get(a["island"], 0) < per_island and used + a["cost_ms"] <= budget_ms
+            s = score(a)
+            fits = s >= ROUTER["minimum"] and islands.get(a["island"], 0) < ROUTER["per_island"] and used + a["cost_ms"] <= budget_ms
             if fits:
                 used, taken = used + a["cost_ms"], taken + 1
                 islands[a["island"]] = islands.get(a["island"], 0) + 1
-            yield key, a["action_id"], fits, used, out
-            out += 1
-        for i, a in enumerate(sorted(left, key=lambda a: a["action_id"])):
-            yield key, a["action_id"], False, used, out + i
-
-    return map_groups(actions, "group_id", _COLUMNS, run, SCHEMA)
+            yield key, a["action_id"], fits, used, step, s
+            step += 1
+        for a in sorted(left, key=order):
+            yield key, a["action_id"], False, used, step, score(a)
+            step += 1
+
+    rows = route_scores(actions, state).withColumn("cost_ms", F.col("cost_ms").cast("long"))
+    return map_groups(rows, "group_id", ["action_id", "island", "criticality", "cost_ms", "base"], run, f"{SCHEMA}, score double")
 
 
 def with_dependencies(actions: DataFrame, *, budget_ms: int, most: int, minimum_gain: float = 0.0) -> DataFrame:

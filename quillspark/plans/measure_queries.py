@@ -12,20 +12,21 @@ R = lambda c: F.round(c, 7).alias(c)
 L = lambda c: F.col(c).cast("long").alias(c)
 
 
-def ascii_text(c: str, n: int):
-    return F.substring(F.regexp_replace(F.coalesce(c, F.lit("")), "[^ -~]", ""), 1, n)
+def ascii_text(c: str):
+    """The whole text without characters that SQL's edit distance would count by their bytes."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), "[^ -~]", "")
 
 
 def _pairs(spark, sf):
-    """Each turn as a hypothesis for the turn before it, both as short ASCII texts."""
+    """Each turn as a hypothesis for the turn before it."""
     c = table(spark, sf, "conversations")
-    a = c.select("conv_id", "turn", "role", F.regexp_replace(ascii_text("text", 60), "[ \t\n]+", "").alias("reference"))
-    b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.regexp_replace(ascii_text("text", 60), "[ \t\n]+", "").alias("hypothesis"))
+    a = c.select("conv_id", "turn", "role", F.regexp_replace(ascii_text("text"), "[ \t\n]+", "").alias("reference"))
+    b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.regexp_replace(ascii_text("text"), "[ \t\n]+", "").alias("hypothesis"))
     return a.join(b, ["conv_id", "turn"])
 
 
 _PAIRS = """
-k AS (SELECT conv_id, turn, role, regexp_replace(substring(regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g'), 1, 60), '[ \t\n]+', '', 'g') AS x FROM conversations),
+k AS (SELECT conv_id, turn, role, regexp_replace(regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g'), '[ \t\n]+', '', 'g') AS x FROM conversations),
 pr AS (SELECT a.conv_id, a.turn, a.role, a.x AS r, b.x AS h, CASE WHEN length(a.x) > 0 THEN levenshtein(a.x, b.x) / length(a.x)::DOUBLE WHEN length(b.x) = 0 THEN 0.0 END AS rate, levenshtein(a.x, b.x) AS d FROM k a JOIN k b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"""
 
 
@@ -56,19 +57,26 @@ def spoken_surface(spark, sf):
 
 
 def _annotated(spark, sf):
-    words = F.split(ascii_text("text", 80), " ")
-    w = lambda i: F.coalesce(F.get(words, F.lit(i)), F.lit("x"))
-    x = F.concat(F.lit("(F "), w(0), F.lit(") "), w(1), F.lit(" (D2 "), w(2), F.lit(") (?) "), w(3), F.lit("  [Noise] (? "), w(4), F.lit(")"))
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.regexp_replace(x, r"[()]{2,}|\(\(", "(").alias("x"))
+    """Each turn with marks on its words: of every eight one a filler, one a disfluency, one uncertain, and an inaudible and a masked one."""
+    words = F.split(F.regexp_replace(ascii_text("text"), r"[()\[\]]", ""), " ")
+    marked = {0: ("(F ", ")"), 2: ("(D2 ", ")"), 3: ("(?) ", ""), 5: ("[Noise] ", ""), 6: ("(? ", ")")}
+
+    def mark(w, i):
+        out = w
+        for k, (left, right) in marked.items():
+            out = F.when(i % 8 == k, F.concat(F.lit(left), w, F.lit(right))).otherwise(out)
+        return out
+
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(F.transform(words, mark), " ").alias("x"))
 
 
 _ANN = """
-an AS (SELECT conv_id, turn, regexp_replace('(F ' || coalesce(w[1], 'x') || ') ' || coalesce(w[2], 'x') || ' (D2 ' || coalesce(w[3], 'x') || ') (?) ' || coalesce(w[4], 'x') || '  [Noise] (? ' || coalesce(w[5], 'x') || ')', '[()]{2,}|\\(\\(', '(', 'g') AS x
-  FROM (SELECT conv_id, turn, string_split(substring(regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g'), 1, 80), ' ') AS w FROM conversations))"""
+an AS (SELECT conv_id, turn, array_to_string(list_transform(w, lambda v, i: CASE (i - 1) % 8 WHEN 0 THEN '(F ' || v || ')' WHEN 2 THEN '(D2 ' || v || ')' WHEN 3 THEN '(?) ' || v WHEN 5 THEN '[Noise] ' || v WHEN 6 THEN '(? ' || v || ')' ELSE v END), ' ') AS x
+  FROM (SELECT conv_id, turn, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g'), '[()\\[\\]]', '', 'g'), ' ') AS w FROM conversations))"""
 
 
 def critical_tokens(spark, sf):
-    x = ascii_text("url", 200)
+    x = ascii_text("url")
     out = table(spark, sf, "pages").select("page_id", X.matches(x, X.NUMBER).alias("a"), X.matches(x, r"[A-Za-z][A-Za-z0-9+._/#-]*").alias("b"))
     return out.select("page_id", F.array_join("a", "|").alias("numbers"), F.array_join("b", "|").alias("names"))
 
@@ -86,13 +94,13 @@ def context_jaccard(spark, sf):
 
 
 def array_edit_rate(spark, sf):
-    r = _pairs(spark, sf).withColumns({"a": F.slice(X.characters(F.col("reference")), 1, 12), "b": F.slice(X.characters(F.col("hypothesis")), 1, 12)})
+    r = _pairs(spark, sf).withColumns({"a": X.characters(F.col("reference")), "b": X.characters(F.col("hypothesis"))})
     return r.select("conv_id", "turn", X.array_edit_distance(F.col("a"), F.col("b")).cast("long").alias("edits"))
 
 
 def catalog_dice_topk(spark, sf):
     entries = table(spark, sf, "part").select(F.col("p_partkey").alias("entry_id"), F.lower("p_brand").alias("phrase"), F.array(F.lower("p_type")).alias("aliases"), F.lit(None).cast("string").alias("reading"), F.array().cast("array<string>").alias("tags"), F.col("p_size").cast("double").alias("priority"))
-    queries = table(spark, sf, "part").where("p_partkey % 100 = 7").select(F.col("p_partkey").alias("query_id"), F.lower(F.concat("p_brand", F.lit(" "), "p_type")).alias("query"), F.lit("").alias("reading"))
+    queries = table(spark, sf, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.lower(F.concat("p_brand", F.lit(" "), "p_type")).alias("query"), F.lit("").alias("reading"))
     return context.select(queries, entries, limit=5, minimum=0.4).select("query_id", "entry_id", R("score"), L("position"))
 
 
@@ -206,10 +214,10 @@ SQL = {
     "oracle_at_k": f"WITH {_PAIRS} SELECT conv_id AS sample_id, turn AS position, round(min(rate) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), 7) AS oracle FROM pr",
     "annotation_counts": f"""WITH {_ANN} SELECT conv_id, turn, len(regexp_extract_all(x, '\\(F\\s+([^()]*)\\)')) AS fillers, len(regexp_extract_all(x, '\\(D2?\\s+([^()]*)\\)')) AS disfluencies, len(regexp_extract_all(x, '\\(\\?\\s+([^()]*)\\)')) + len(regexp_extract_all(x, '\\(\\?\\)')) AS uncertain, len(regexp_extract_all(x, '\\[[A-Za-z][A-Za-z0-9_-]*\\]')) AS masked FROM an""",
     "spoken_surface": f"""WITH {_ANN} SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\\(F\\s+([^()]*)\\)', '\\1', 'g'), '\\(D2?\\s+([^()]*)\\)', '\\1', 'g'), '\\(\\?\\s+([^()]*)\\)', '\\1', 'g'), '\\(\\?\\)', '', 'g'), '\\s+', ' ', 'g')) AS surface FROM an""",
-    "critical_tokens": "SELECT page_id, array_to_string(regexp_extract_all(x, '[0-9][0-9,.:/-]*'), '|') AS numbers, array_to_string(regexp_extract_all(x, '[A-Za-z][A-Za-z0-9+._/#-]*'), '|') AS names FROM (SELECT page_id, substring(regexp_replace(coalesce(url, ''), '[^ -~]', '', 'g'), 1, 200) AS x FROM pages)",
+    "critical_tokens": "SELECT page_id, array_to_string(regexp_extract_all(x, '[0-9][0-9,.:/-]*'), '|') AS numbers, array_to_string(regexp_extract_all(x, '[A-Za-z][A-Za-z0-9+._/#-]*'), '|') AS names FROM (SELECT page_id, regexp_replace(coalesce(url, ''), '[^ -~]', '', 'g') AS x FROM pages)",
     "punctuation_multiset_f1": "WITH p AS (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '[!?:;.,]') AS a FROM conversations), j AS (SELECT x.conv_id, x.turn, x.a, y.a AS b FROM p x JOIN p y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1), m AS (SELECT *, list_sum(list_transform(list_distinct(a), lambda v: least(len(list_filter(a, lambda z: z = v)), len(list_filter(b, lambda z: z = v))))) AS s FROM j) SELECT conv_id, turn, CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 WHEN len(a) = 0 OR len(b) = 0 OR coalesce(s, 0) = 0 THEN 0.0 ELSE round(2.0 * s / (len(a) + len(b)), 7) END AS f1 FROM m",
     "context_jaccard": f"WITH {_PAIRS}, g AS (SELECT conv_id, turn, {_GRAMS('r')} AS a, {_GRAMS('h')} AS b FROM pr), i AS (SELECT *, len(list_intersect(a, b)) AS n FROM g) SELECT conv_id, turn, CASE WHEN len(a) + len(b) = 0 THEN 0.0 ELSE round(n / (len(a) + len(b) - n)::DOUBLE, 7) END AS jaccard, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE round(2.0 * n / (len(a) + len(b)), 7) END AS dice FROM i",
-    "array_edit_rate": f"WITH {_PAIRS} SELECT conv_id, turn, levenshtein(substring(r, 1, 12), substring(h, 1, 12)) AS edits FROM pr",
+    "array_edit_rate": f"WITH {_PAIRS} SELECT conv_id, turn, levenshtein(r, h) AS edits FROM pr",
     "ece_bins": f"WITH {_SC}, b AS (SELECT *, len(list_filter(list_transform(range(1, 15), lambda i: i / 15.0::DOUBLE), lambda e: p >= e)) AS bin, least(1 - 1e-9, greatest(1e-9, p)) AS q, y::INTEGER AS z FROM sc), g AS (SELECT bin, count(*) AS n, sum(p) AS sp, sum(z) AS sy, sum((q - z) * (q - z)) AS b, sum(-(z * ln(q) + (1 - z) * ln(1 - q))) AS l FROM b GROUP BY bin) SELECT round(sum(abs(sp - sy)) / sum(n), 7) AS ece, round(sum(b) / sum(n), 7) AS brier, round(sum(l) / sum(n), 7) AS nll, sum(n)::BIGINT AS n FROM g",
     "temperature_grid": f"WITH {_SC}, t AS (SELECT unnest([0.25, 0.35, 0.5, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0, 3.0, 5.0]::DOUBLE[]) AS temperature), q AS (SELECT temperature, y::INTEGER AS z, least(1 - 1e-9, greatest(1e-9, 1 / (1 + exp(-ln(least(1 - 1e-9, greatest(1e-9, p)) / (1 - least(1 - 1e-9, greatest(1e-9, p)))) / temperature)))) AS q FROM sc, t), g AS (SELECT temperature, -avg(z * ln(q) + (1 - z) * ln(1 - q)) AS nll FROM q GROUP BY temperature) SELECT temperature, round(nll, 7) AS nll, row_number() OVER (ORDER BY nll, temperature) = 1 AS best FROM g",
     "aurc": f"WITH {_SC}, a AS (SELECT row_number() OVER o AS i, sum(CASE WHEN y THEN 0 ELSE 1 END) OVER (o ROWS UNBOUNDED PRECEDING) AS e, count(*) OVER () AS n FROM sc WINDOW o AS (ORDER BY p DESC, id)), r AS (SELECT i, n, e / i::DOUBLE AS risk FROM a) SELECT round(sum((risk + coalesce(lag_risk, 0)) / 2 / n), 7) AS aurc, count(*) AS n FROM (SELECT *, lag(risk) OVER (ORDER BY i) AS lag_risk FROM r)",
@@ -222,7 +230,7 @@ SQL = {
     "loop_guard_never_empty": f"WITH {CANDIDATES}, m AS (SELECT *, sum(degenerate::INTEGER) OVER (PARTITION BY group_id) AS b, count(*) OVER (PARTITION BY group_id) AS n FROM c) SELECT group_id, candidate_id, CASE WHEN b = n THEN 0 ELSE b END::BIGINT AS rejected FROM m WHERE NOT degenerate OR b = n",
     "minmax_enrich": f"WITH {CANDIDATES}, m AS (SELECT *, CASE WHEN rank <> 2 THEN mora END AS raw FROM c), w AS (SELECT *, min(raw) OVER (PARTITION BY group_id) AS lo, max(raw) OVER (PARTITION BY group_id) AS hi FROM m) SELECT group_id, candidate_id, round(coalesce(CASE WHEN raw IS NULL THEN NULL WHEN hi - lo < 1e-12 THEN 1.0 ELSE (raw - lo) / (hi - lo) END, lexical), 7) AS lexical FROM w",
     "second_ear_agreement": f"WITH {CANDIDATES}, s AS (SELECT o_orderkey AS group_id, o_orderstatus || 'Oa' AS t FROM orders WHERE o_orderkey % 3 <> 0), j AS (SELECT c.group_id, candidate_id, text, CASE WHEN t IS NOT NULL THEN 1 - least(1.0, levenshtein(text, t) / length(text)::DOUBLE) END AS cm FROM c LEFT JOIN s USING (group_id)), u AS (SELECT * FROM j UNION ALL SELECT s.group_id, 'second-ear:0001', t, NULL FROM s SEMI JOIN c USING (group_id) WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.group_id = s.group_id AND c.text = s.t)) SELECT group_id, candidate_id, text, round(cm, 7) AS cross_model, count(*) OVER (PARTITION BY group_id) AS hypothesis_count FROM u",
-    "catalog_dice_topk": f"WITH q AS (SELECT p_partkey AS qid, lower(p_brand || ' ' || p_type) AS q FROM part WHERE p_partkey % 100 = 7), e AS (SELECT p_partkey AS eid, p_size::DOUBLE AS pr, lower(p_brand) AS s FROM part UNION ALL SELECT p_partkey, p_size, lower(p_type) FROM part), x AS (SELECT qid, eid, pr, q, s, {_GRAMS('q')} AS a, {_GRAMS('s')} AS b FROM q, e), y AS (SELECT *, CASE WHEN q = s THEN 1.0 WHEN contains(q, s) THEN 0.98 WHEN length(q) >= 2 AND contains(s, q) THEN least(0.94, 0.72 + 0.22 * length(q) / length(s)) ELSE 0.72 * greatest(2.0 * len(list_intersect(a, b)) / (len(a) + len(b)), 1 - levenshtein(q, s) / greatest(length(q), length(s))::DOUBLE) END AS score FROM x), g AS (SELECT qid, eid, pr, max(score) AS score FROM y WHERE score >= 0.4 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pr DESC, eid) AS position FROM g) SELECT qid AS query_id, eid AS entry_id, round(score, 7) AS score, position FROM r WHERE position <= 5",
+    "catalog_dice_topk": f"WITH q AS (SELECT p_partkey AS qid, lower(p_brand || ' ' || p_type) AS q FROM part WHERE p_partkey % 50 = 0), e AS (SELECT p_partkey AS eid, p_size::DOUBLE AS pr, lower(p_brand) AS s FROM part UNION ALL SELECT p_partkey, p_size, lower(p_type) FROM part), x AS (SELECT qid, eid, pr, q, s, {_GRAMS('q')} AS a, {_GRAMS('s')} AS b FROM q, e), y AS (SELECT *, CASE WHEN q = s THEN 1.0 WHEN contains(q, s) THEN 0.98 WHEN length(q) >= 2 AND contains(s, q) THEN least(0.94, 0.72 + 0.22 * length(q) / length(s)) ELSE 0.72 * greatest(2.0 * len(list_intersect(a, b)) / (len(a) + len(b)), 1 - levenshtein(q, s) / greatest(length(q), length(s))::DOUBLE) END AS score FROM x), g AS (SELECT qid, eid, pr, max(score) AS score FROM y WHERE score >= 0.4 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pr DESC, eid) AS position FROM g) SELECT qid AS query_id, eid AS entry_id, round(score, 7) AS score, position FROM r WHERE position <= 5",
     "ngram_counts": f"WITH {_TOK} SELECT 1::BIGINT AS n, '' AS context, target, count(*) AS c FROM ps GROUP BY target UNION ALL SELECT 2, prev, target, count(*) FROM ps GROUP BY prev, target",
     "ngram_backoff_score": f"WITH {_TOK}, tr AS (SELECT * FROM ps WHERE id % 2 = 0), u AS (SELECT target, count(*) AS c FROM tr GROUP BY 1), b AS (SELECT prev, target, count(*) AS c FROM tr GROUP BY ALL), t AS (SELECT prev, count(*) AS c FROM tr GROUP BY 1), v AS (SELECT count(*) + 1 AS v, sum(c) AS n FROM u), s AS (SELECT ps.id, u.c AS uc, CASE WHEN coalesce(t.c, 0) > 0 THEN ln((coalesce(b.c, 0) + 0.1) / (t.c + 0.1 * v)) ELSE ln((coalesce(u.c, 0) + 0.1) / (n + 0.1 * v)) - 0.12 END AS lp FROM ps CROSS JOIN v LEFT JOIN u ON u.target = ps.target LEFT JOIN t ON t.prev = ps.prev LEFT JOIN b ON b.prev = ps.prev AND b.target = ps.target) SELECT id, count(*) - 1 AS tokens, count(*) FILTER (WHERE uc IS NULL) AS unknown, round(sum(lp), 5) AS total, round(sum(lp) / count(*), 7) AS average FROM s GROUP BY id",
     "surprisal_quantile_rank": "SELECT quantile_disc(value, 0.95) AS threshold, count(value) AS n FROM events",
