@@ -76,6 +76,22 @@ def _remove_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: A key with over HOT_ROWS rows and over 1 / HOT_KEYS of all meets them by broadcast: fewer than HOT_KEYS keys.
+HOT_KEYS, HOT_ROWS = 65_536, 1_000
+
+
+def meet(rows: DataFrame, facts: DataFrame, on: list[str], held: str = "held") -> DataFrame:
+    """``rows`` joined with ``facts``, a row for each key, whose column ``held`` says how many rows have that key.
+
+    The few keys that hold many rows are broadcast, so that their rows stay where they are; the others meet in a
+    shuffle, in which no key has over 1 / HOT_KEYS of the rows (or HOT_ROWS).
+    """
+    share = (facts.agg(F.sum(held).alias("all")).first()["all"] or 0) // HOT_KEYS
+    few = facts.where(F.col(held) > max(share, HOT_ROWS))
+    hot = F.broadcast(few.select(*on))
+    return rows.join(F.broadcast(few), on).unionByName(rows.join(hot, on, "left_anti").join(facts.join(hot, on, "left_anti"), on))
+
+
 def crc_mod(column, n: int):
     """crc32 of a column's text form, modulo ``n`` (a null id counts as remainder -1: in no fold)."""
     return F.coalesce(F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(n)), F.lit(-1))

@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._common import BLANKS, cut
+from quillspark.llm._common import BLANKS, cut, meet
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-#: A key with over HOT_LINES lines and over 1 / HOT_KEYS of all common ones meets them by broadcast: fewer than HOT_KEYS keys.
-HOT_KEYS, HOT_LINES = 65_536, 1_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -32,7 +30,7 @@ def drop_common_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     Only 16-byte line fingerprints (two 64-bit hashes) are shuffled to be counted; the count first collapses each
     (line, document) and then each line, both with map-side partial sums, so a line that a third of all documents
     hold is spread over tasks. Its lines then meet their count where they are, since the few keys that hold many lines
-    are broadcast (fewer than HOT_KEYS rows); the lines of all other keys meet theirs in a shuffle. Texts move once, to
+    are broadcast; the lines of all other keys meet theirs in a shuffle. Texts move once, to
     meet the positions that they lose.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
@@ -45,11 +43,7 @@ def drop_common_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         .select("id", "print", "pos", F.xxhash64(F.lit(1), "key").alias("h1"), F.xxhash64(F.lit(2), "key").alias("h2"))
     )
     common = cut(lines.groupBy("h1", "h2").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper"), F.count("*").alias("held")).where(F.col("n") >= min_docs).drop("n"))
-    share = (common.agg(F.sum("held").alias("all")).first()["all"] or 0) // HOT_KEYS
-    few = common.where(F.col("held") > max(share, HOT_LINES))
-    many = common.join(F.broadcast(few.select("h1", "h2")), ["h1", "h2"], "left_anti")
-    met = lines.join(F.broadcast(few), ["h1", "h2"]).unionByName(lines.join(F.broadcast(few.select("h1", "h2")), ["h1", "h2"], "left_anti").join(many, ["h1", "h2"]))
-    lost = met.where(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy(F.col("id").alias("lost_id"), F.col("print").alias("lost_print")).agg(F.collect_set("pos").alias("lost"))
+    lost = meet(lines, common, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy(F.col("id").alias("lost_id"), F.col("print").alias("lost_print")).agg(F.collect_set("pos").alias("lost"))
     split = F.split("body", "\n", -1)
     both = rows.join(lost, F.col("id").eqNullSafe(F.col("lost_id")) & (F.col("print") == F.col("lost_print")), "left")
     kept = F.when(F.col("lost").isNull(), F.col("body")).otherwise(F.array_join(F.filter(split, lambda _, i: ~F.array_contains("lost", i)), "\n"))

@@ -1,149 +1,311 @@
 """Passages that repeat across documents, by sparse suffix arrays with minimiser sampling.
 
-Of all suffixes (starting at words) only those at minimiser positions are kept: in every stretch of ``length`` words
-the run of ``k`` words with the least hash. Which positions these are depends on the words alone, so two copies of a
-stretch keep the same ones. The kept suffixes of all documents are sorted by their first k words and compared with
-their neighbours. Where neighbours of different documents agree, the stretches of ``length`` words that the minimiser
-stands for, which reach from it to the left and to the right, are sorted and compared in the same way, and stretches
-that agree with a neighbour are joined to maximal passages.
-
-(Extending each pair of neighbours by itself would miss passages: a suffix's nearest neighbour on the right need not be
-the one that agrees with it furthest on the left.)
+Of all suffixes (starting at words) only those at minimiser positions are retained: in every stretch of ``length`` words
+the leftmost run of ``k`` words with the least hash. Which positions these are depends on the words alone, so two copies of
+a stretch retain the same one. Retained suffixes whose run of ``k`` words other documents have too are sorted by the
+words from there to the right, and each is compared with its neighbours of other documents and extended with them to
+the left and to the right. They are then sorted by the words to the left, with their neighbours compared likewise.
+
+Neighbours alone don't settle everything: a suffix may share more on the left with one that isn't next to it on the right.
+But a neighbour on the right shares the most on the right, and one on the left the most on the left, which bounds what
+any other suffix could still add. Stretches within these bounds that no neighbour has shown to repeat are looked up among all stretches
+around the same minimiser.
+
+Words are compared by 48 bits of hash each, one by one, never windows of words by a single hash (but for the last look-up, by 128 bits).
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import _text as T
-from quillspark.llm._common import cut, load
-from quillspark.llm._exchange import PIECE, distinct, grouped, merged, piece
+from quillspark.llm._common import WORD, cut, load, meet, remove
 
 LENGTH, K = 50, 10
-#: Bytes of text of a chunk, and of the text whose keys one bucket holds.
-CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 64 << 20
+#: Bytes of a word in a suffix.
+BYTES = 6
 _U = np.uint64
-ANSWER = "chunk int, kind int, bucket int, bits binary"
+DOC = ["id", "t1", "t2"]
+
 
+def sliding_least(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(least of x[i:i+width], its leftmost place) for each i, in time linear in x.
 
-def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
-    """min(x[i:i+width]) for each i, in time linear in x: minima from the left and right ends of blocks."""
+    Running minima from both ends of blocks of ``width``; a window is the end of one block and the begin of the next.
+    """
     n = len(x) - width + 1
     if n <= 0:
-        return np.zeros(0, dtype=x.dtype)
-    padded = np.full(-(-len(x) // width) * width, np.iinfo(x.dtype).max, dtype=x.dtype)
+        return x[:0], np.zeros(0, dtype=np.int64)
+    top = np.iinfo(x.dtype).max
+    padded = np.full(-(-len(x) // width) * width, top, dtype=x.dtype)
     padded[: len(x)] = x
-    rows = padded.reshape(-1, width)
-    left = np.minimum.accumulate(rows, axis=1).ravel()
-    right = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(right[:n], left[width - 1 : width - 1 + n])
-
-
-class Stretches:
-    """All stretches of ``length`` words in a chunk's documents: document, start word, minimiser and fingerprint."""
-
-    def __init__(self, docs: pa.Table, length: int, k: int):
-        ids = docs.column("id").to_numpy(zero_copy_only=False) if docs.column("id").null_count == 0 else np.array([-1 - i if x is None else x for i, x in enumerate(docs.column("id").to_pylist())])
-        _, self.doc_of_row = np.unique(ids, return_inverse=True)  # rows that repeat an id are one document
-        row, start, least, print_, at = [], [], [], [], []
-        for a, z, data, offsets in T.spans(docs.column("body")):
-            w = T.words(data, offsets)
-            n = max(0, len(w.hash) - length + 1)
-            on = np.flatnonzero(T.windows_inside(w.first, n, length)) if n else np.zeros(0, dtype=int)
-            chars = np.zeros(len(data) + 1, dtype=np.int64)
-            np.cumsum((data & 0xC0) != 0x80, out=chars[1:])
-            row.append(w.doc[on] + a)
-            start.append(on - w.first[w.doc[on]])
-            least.append(T.mix(sliding_least(T.window_hash(w.hash, k), length - k + 1)[on]))  # least values are small: spread them
-            print_.append(T.window_hash(w.hash, length)[on])
-            base = chars[offsets[w.doc[on]]]
-            at.append(np.stack([chars[w.start[on]] - base, chars[w.end[on + length - 1]] - base]).T if len(on) else np.zeros((0, 2), dtype=np.int64))
-        cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, dtype=t)
-        self.row, self.start, self.least, self.print = cat(row, np.int64), cat(start, np.int64), cat(least, _U), cat(print_, _U)
-        self.chars = np.concatenate(at) if at else np.zeros((0, 2), dtype=np.int64)
-
-    def asked(self, key: np.ndarray, on: np.ndarray, n: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-        """(distinct keys by bucket, documents that hold each, place of each stretch's key) of the stretches ``on``."""
-        keys, place = distinct(key[on], n)
-        total = sum(map(len, keys))
-        holds = np.unique(place * (len(self.doc_of_row) + 1) + self.doc_of_row[self.row[on]]) // (len(self.doc_of_row) + 1)
-        return keys, np.split(np.bincount(holds, minlength=total), np.cumsum([len(x) for x in keys])[:-1]), place
-
-    def answered(self, key: np.ndarray, on: np.ndarray, n: int, bits: dict[int, bytes]) -> np.ndarray:
-        """Those of the stretches ``on`` whose key is held by another document too."""
-        keys, _, place = self.asked(key, on, n)
-        yes = [np.unpackbits(np.frombuffer(bits[i], dtype=np.uint8), count=len(x)).astype(bool) for i, x in enumerate(keys) if len(x)]
-        return on[np.concatenate(yes)[place]] if yes else on[:0]
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """PIECE rows -> a bit for each key: whether neighbours in the bucket's sorted keys, of other documents, are equal."""
-    for (kind, bucket), table in grouped(batches, 2):
-        _, documents, asked = merged(table)
-        for chunk, place in asked:
-            bits = np.packbits(documents[place] > 1).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([bits], pa.binary())], ["chunk", "kind", "bucket", "bits"])
-
-
-def _bits(answers: pa.Table, kind: int) -> dict[int, bytes]:
-    return {r["bucket"]: r["bits"] for r in answers.to_pylist() if r["kind"] == kind}
+    rows, place = padded.reshape(-1, width), np.arange(len(padded)).reshape(-1, width)
+    step = np.arange(width)
 
+    forth = np.minimum.accumulate(rows, axis=1)
+    new = np.ones(rows.shape, dtype=bool)
+    new[:, 1:] = rows[:, 1:] < forth[:, :-1]  # only a lower one moves the place to the right
+    forth_at = place[:, :1] + np.maximum.accumulate(np.where(new, step, 0), axis=1)
+
+    turned = rows[:, ::-1]
+    back = np.minimum.accumulate(turned, axis=1)
+    new[:, 1:] = turned[:, 1:] <= back[:, :-1]  # an equal one moves it to the left
+    back_at = place[:, -1:] - np.maximum.accumulate(np.where(new, step, 0), axis=1)
+
+    a, b = back[:, ::-1].ravel()[:n], forth.ravel()[width - 1 : width - 1 + n]
+    return np.minimum(a, b), np.where(a <= b, back_at[:, ::-1].ravel()[:n], forth_at.ravel()[width - 1 : width - 1 + n])
+
+
+def minimisers(w: T.Words, length: int, k: int) -> tuple[np.ndarray, ...]:
+    """(place among all words, document, low, high, key) of each retained suffix: it is the minimiser of the stretches
+    that begin ``low`` to ``high`` words before it."""
+    n = max(0, len(w.hash) - length + 1)
+    on = np.flatnonzero(T.windows_inside(w.first, n, length)) if n else np.zeros(0, dtype=np.int64)
+    h = T.window_hash(w.hash, k)
+    at = sliding_least(h, length - k + 1)[1][on]
+    doc = w.doc[on]
+    new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])])) if len(on) else on
+    last = np.append(new[1:], len(on)) - 1 if len(on) else on
+    return at[new], doc[new], at[new] - on[last], at[new] - on[new], T.mix(h[at[new]])
+
+
+def _marks(length: int, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a, _, data, offsets in T.spans(b.column(3)):
+                w = T.words(data, offsets)
+                at, doc, low, high, key = minimisers(w, length, k)
+                own = pa.array(doc + a)
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(own) for i in range(3)), pa.array((at - w.first[doc]).astype(np.int32)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(key.view(np.int64))], [*DOC, "pos", "low", "high", "key"])
+
+    return run
+
+
+def _ranges(start: np.ndarray, n: np.ndarray, step: int) -> np.ndarray:
+    """start, start + step, ... (n of them) for each pair, end to end."""
+    return np.repeat(start, n) + step * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+
+
+def _suffixes(length: int):
+    """(id, t1, t2, body, marks) -> the words from each retained suffix to the right, and from it to the left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            marks = b.column(4)
+            per, flat = marks.value_lengths().to_numpy(), marks.flatten()
+            first = np.concatenate([[0], np.cumsum(per)])
+            pos, low, high = (flat.field(i).to_numpy().astype(np.int64) for i in range(3))
+            keys = flat.field(3)
+            for a, z, data, offsets in T.spans(b.column(3)):
+                w = T.words(data, offsets)
+                raw = w.hash.view(np.uint8).reshape(-1, 8)[:, :BYTES]
+                on = slice(first[a], first[z])
+                doc = np.repeat(np.arange(z - a), per[a:z])
+                at = w.first[doc] + pos[on]
+                sides = []
+                for start, n, step in ((at, length - low[on], 1), (at - 1, high[on], -1)):
+                    ends = np.concatenate([[0], np.cumsum(n * BYTES)]).astype(np.int64)
+                    sides.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(raw[_ranges(start, n, step)]).tobytes())]).cast(pa.binary()))
+                own = pa.array(doc + a)
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(own) for i in range(3)), *(pa.array(x[on].astype(np.int32)) for x in (pos, low, high)), keys.slice(first[a], first[z] - first[a]), *sides], [*DOC, "pos", "low", "high", "key", "right", "left"])
+
+    return run
+
+
+def _matrix(side: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows x width words, 0 where there is none; words of each row)."""
+    side = side.cast(pa.large_binary())
+    offsets = np.frombuffer(side.buffers()[1], dtype=np.int64)[side.offset : side.offset + len(side) + 1]
+    n = np.diff(offsets) // BYTES
+    flat = np.zeros((int(n.sum()), 8), dtype=np.uint8)
+    if len(flat):
+        flat[:, :BYTES] = np.frombuffer(side.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]].reshape(-1, BYTES)
+    out = np.zeros((len(side), width), dtype=_U)
+    out[np.repeat(np.arange(len(side)), n), _ranges(np.zeros(len(n), dtype=np.int64), n, 1)] = flat.view(_U).ravel()
+    return out, n
+
+
+def _common_words(m: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Words that rows i and j have in common from their begin, at most those of row i."""
+    differ = np.concatenate([m[i] != m[j], np.ones((len(i), 1), dtype=bool)], axis=1)
+    return np.minimum(differ.argmax(axis=1), n[i])
+
+
+_RESULT = "id long, t1 long, t2 long, pos int, low int, high int, key long, lo1 int, hi1 int, lo2 int, hi2 int, on_right int, on_left int"
+_EDGE = "part int, seq long, right binary, left binary"
 
-def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K) -> DataFrame:
-    """(doc_id, start_word, end_word, n_words, start_char, end_char): each document's maximal passages all of whose
-    stretches of ``length`` words are in other documents too; ends are exclusive.
 
-    Words are as written, blanks between them don't matter. A document is an id: rows that repeat an id don't repeat
-    each other's passages; rows with a null id are documents of their own. Null, empty and short texts (fewer than ``length``
-    words) have no passages, nor has a passage that repeats in one document only. Texts are compared whole, words by
-    64-bit hashes. Empty tables give no rows.
+def _neighbours(length: int, longest: int, edges: bool):
+    """Sorted suffixes -> what each shares with its nearest neighbours of other documents before and after it.
 
-    Chunks of documents send distinct keys to buckets and get a bit for each, so a passage that a third of all
-    documents share is one key for each chunk.
+    Rows: (lo, hi), the distances to the left at which stretches begin that both have, for either neighbour (lo > hi: none), and the words in
+    common. With ``edges`` the first and last documents of a partition come along as they are, since some of their
+    neighbours are in other partitions.
     """
+
+    def compared(t: pa.Table, begin: np.ndarray, end: np.ndarray, first: int, last: int) -> dict:
+        """Of rows first..last-1, whose documents' rows are begin..end-1."""
+        rows = np.arange(first, last)
+        right, nr = _matrix(t.column("right").combine_chunks(), length)
+        left, nl = _matrix(t.column("left").combine_chunks(), longest)
+        low, high = (t.column(c).to_numpy() for c in ("low", "high"))
+        out = {"on_right": np.zeros(len(rows), dtype=np.int64), "on_left": np.zeros(len(rows), dtype=np.int64)}
+        for name, other in (("1", begin[first:last] - 1), ("2", end[first:last])):
+            there = (other >= 0) & (other < t.num_rows)
+            i, j = rows[there], other[there]
+            r, e = _common_words(right, nr, i, j), _common_words(left, nl, i, j)
+            lo, hi = np.ones(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=np.int64)
+            lo[there], hi[there] = np.maximum(low[i], length - r), np.minimum(high[i], e)
+            out["lo" + name], out["hi" + name] = lo, hi
+            np.maximum.at(out["on_right"], np.flatnonzero(there), r)
+            np.maximum.at(out["on_left"], np.flatnonzero(there), e)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        part = context.partitionId() if context is not None else 0
+        held: pa.Table | None = None  # the last row of the document before the last one, then the last one's rows
+        settled, seq = 0, 0  # rows of held that are settled already
+
+        def shown(t: pa.Table, first: int, last: int, begin: np.ndarray, end: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
+            nonlocal seq
+            got = compared(t, begin, end, first, last)
+            own = t.slice(first, last - first)
+            only = pa.array(np.arange(last - first), mask=~edge[first:last])  # of rows that aren't at an edge nothing is shown
+            seq += last - first
+            columns = {c: own.column(c) for c in (*DOC, "pos", "low", "high", "key")} | {c: pa.array(got[c].astype(np.int32)) for c in ("lo1", "hi1", "lo2", "hi2", "on_right", "on_left")}
+            if edges:
+                columns |= {"part": pa.array(np.full(last - first, part, dtype=np.int32), mask=~edge[first:last]), "seq": pa.array(np.arange(seq - (last - first), seq))}
+                columns |= {c: own.column(c).combine_chunks().take(only) for c in ("right", "left")}
+            return pa.table(columns).combine_chunks().to_batches()
+
+        def runs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+            ids, alone = t.column("id").is_null().to_numpy(), t.column("t1").to_numpy()
+            key = np.where(ids, alone, t.column("id").fill_null(0).to_numpy())
+            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])]))
+            n = np.diff(np.append(new, t.num_rows))
+            return np.repeat(new, n), np.repeat(new + n, n)
+
+        first_run = True
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            begin, end = runs(t)
+            last = int(begin[-1])  # rows of the last document wait for what follows
+            if last > settled:
+                edge = (begin == 0) & first_run & (settled == 0)
+                yield from shown(t, settled, last, begin, end, edge)
+                first_run = False
+            keep = max(0, last - 1)
+            settled = last - keep if last > 0 else 0
+            held = t.slice(keep)
+        if held is not None:
+            begin, end = runs(held)
+            yield from shown(held, settled, held.num_rows, begin, end, np.ones(held.num_rows, dtype=bool))
+
+    return run
+
+
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("body") + 64), F.lit(0)).alias("n")).first().n
-    chunks, n = max(1, math.ceil(size / CHUNK_BYTES)), max(12, math.ceil(size / BUCKET_BYTES))
-    # Rows of one id meet in a chunk; null ids are dealt by their texts.
-    dealt = rows.select(F.pmod(F.coalesce(F.xxhash64("id"), F.xxhash64("body")), F.lit(chunks)).cast("int").alias("chunk"), "id", "body")
-
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (chunk,), table in grouped(batches, 1):
-            s = Stretches(table, length, k)
-            keys, held, _ = s.asked(s.least, np.arange(len(s.least)), n)
-            yield piece(0, chunk, keys, held)
-
-    def around(key, table: pa.Table, answers: pa.Table) -> pa.Table:
-        s = Stretches(table, length, k)
-        on = s.answered(s.least, np.arange(len(s.least)), n, _bits(answers, 0))
-        keys, held, _ = s.asked(s.print, on, n)
-        return pa.Table.from_batches([piece(1, key[0].as_py(), keys, held)])
-
-    def passages(key, table: pa.Table, answers: pa.Table) -> pa.Table:
-        s = Stretches(table, length, k)
-        on = s.answered(s.least, np.arange(len(s.least)), n, _bits(answers, 0))
-        on = s.answered(s.print, on, n, _bits(answers, 1))
-        row, start = s.row[on], s.start[on]
-        # Stretches come in order; one that begins in or right after the one before continues its passage.
-        new = np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] > start[:-1] + length)])[: len(on)]
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(on)) - 1 if len(on) else first
-        cols = [start[first], start[last] + length, start[last] + length - start[first], s.chars[on[first], 0], s.chars[on[last], 1]]
-        return pa.table({"doc_id": table.column("id").take(pa.array(row[first])), **dict(zip(("start_word", "end_word", "n_words", "start_char", "end_char"), (pa.array(c.astype(np.int64)) for c in cols), strict=True))})
-
-    def compared(pieces: DataFrame) -> DataFrame:
-        return cut(pieces.repartition(n, "kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_shared, ANSWER))
-
-    first = compared(dealt.repartition(chunks, "chunk").sortWithinPartitions("chunk").mapInArrow(anchors, PIECE))
-    by = dealt.groupBy("chunk")
-    second = compared(by.cogroup(first.groupBy("chunk")).applyInArrow(around, PIECE))
-    return by.cogroup(first.union(second).groupBy("chunk")).applyInArrow(passages, "doc_id long, start_word long, end_word long, n_words long, start_char long, end_char long")
+    return rows.select("id", F.xxhash64(F.lit(1), "body").alias("t1"), F.xxhash64(F.lit(2), "body").alias("t2"), "body")
+
+
+def _in_two_documents():
+    """Whether rows are of two documents at least: ids, or texts without one."""
+    alone = F.when(F.col("id").isNull(), F.col("t1"))
+    return (F.min("id") < F.max("id")) | (F.min(alone) < F.max(alone)) | ((F.count("id") > 0) & (F.count(alone) > 0))
+
+
+def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K) -> DataFrame:
+    """(doc_id, start_word, end_word, n_words, t1, t2): each document's maximal passages all of whose stretches of
+    ``length`` words are in other documents too; ends are exclusive, t1 and t2 are hashes of the text.
+
+    Words are as written, blanks between them don't matter. A document is an id: its rows don't repeat each other's
+    passages, and rows that repeat both id and text count once. A text with a null id is a document of its own, and two rows of it
+    are two. Null, empty and short texts (fewer than ``length`` words) have no passages, nor has a passage that repeats in one document
+    only. Texts are compared whole, however long. Empty tables give no rows; columns beside the two named aren't read, whatever their names.
+
+    Suffixes are sorted in range partitions by all their words, so a passage that a third of all documents share is spread over
+    partitions; neighbours across their borders are compared from the first and last documents of each. No task holds a
+    group: suffixes stream by, and only one document's wait for their next neighbour.
+    """
+    body = _documents(docs, id_col, text_col)
+    marks, marks_path = cut(body.mapInArrow(_marks(length, k), "id long, t1 long, t2 long, pos int, low int, high int, key long"), keep_path=True)
+    shared = cut(marks.groupBy("key").agg(_in_two_documents().alias("two"), F.count("*").alias("held")).where("two").drop("two"))
+    of_doc = meet(marks, shared, ["key"]).groupBy(*DOC).agg(F.collect_set(F.struct("pos", "low", "high", "key")).alias("marks"))
+    texts = body.dropDuplicates(DOC)
+    same = (texts["id"].eqNullSafe(of_doc["id"])) & (texts["t1"] == of_doc["t1"]) & (texts["t2"] == of_doc["t2"])
+    suffixes = texts.join(of_doc, same).select(texts["id"], texts["t1"], texts["t2"], "body", "marks").mapInArrow(_suffixes(length), "id long, t1 long, t2 long, pos int, low int, high int, key long, right binary, left binary")
+    suffixes, suffixes_path = cut(suffixes, keep_path=True)
+    remove(docs.sparkSession, marks_path)
+
+    longest = length - k
+    found = []
+    for order in (["right", "left"], ["key", "left", "right"]):
+        ordered = suffixes.repartitionByRange(*order, *DOC).sortWithinPartitions(*order, *DOC, "pos")
+        got = cut(ordered.mapInArrow(_neighbours(length, longest, True), f"{_RESULT}, {_EDGE}"))
+        borders = got.where("part is not null").select(*DOC, "pos", "low", "high", "key", "right", "left", "part", "seq")
+        across = borders.repartition(1).sortWithinPartitions("part", "seq").mapInArrow(_neighbours(length, longest, False), _RESULT)
+        found += [got.drop("part", "seq", "right", "left"), across]
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    span = lambda i: F.struct(F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi"))
+    settled = cut(
+        every.groupBy(*DOC, "pos", "low", "high", "key")
+        .agg(F.array_distinct(F.flatten(F.collect_list(F.filter(F.array(span(1), span(2)), lambda s: s["lo"] <= s["hi"])))).alias("spans"), F.max("on_right").alias("on_right"), F.max("on_left").alias("on_left"))
+    )
+    least, most = F.greatest("low", F.lit(length) - F.col("on_right")), F.least("high", "on_left")
+    unsure = F.filter(F.when(least <= most, F.sequence(least, most)), lambda l: ~F.exists("spans", lambda s: (s["lo"] <= l) & (l <= s["hi"])))
+    begins = settled.select(*DOC, F.explode("spans").alias("s"), "pos").select(*DOC, (F.col("pos") - F.col("s.hi")).alias("a"), (F.col("pos") - F.col("s.lo")).alias("b"))
+
+    wanted = cut(settled.select("key", F.explode(unsure).alias("l")).distinct())
+    if not wanted.isEmpty():
+        held = wanted.groupBy("key").agg(F.array_sort(F.collect_set("l")).alias("ls")).join(shared, "key")
+        around = meet(suffixes, cut(held), ["key"]).select(*DOC, "pos", "key", "right", "left", F.explode(F.filter("ls", lambda l: (l >= F.col("low")) & (l <= F.col("high")))).alias("l"))
+        words = F.substring(F.col("left"), F.lit(1), F.col("l") * BYTES), F.substring(F.col("right"), F.lit(1), (F.lit(length) - F.col("l")) * BYTES)
+        prints = cut(around.select(*DOC, "pos", "l", "key", F.xxhash64(F.lit(1), *words).alias("f1"), F.xxhash64(F.lit(2), *words).alias("f2")))
+        twins = cut(prints.groupBy("key", "l", "f1", "f2").agg(_in_two_documents().alias("two"), F.count("*").alias("held")).where("two").drop("two"))
+        more = meet(prints, twins, ["key", "l", "f1", "f2"])
+        begins = begins.union(more.select(*DOC, (F.col("pos") - F.col("l")).alias("a"), (F.col("pos") - F.col("l")).alias("b")))
+    alone = body.where("id is null").groupBy("t1", "t2").agg(F.count("*").alias("n"), F.first(F.regexp_count("body", F.lit(WORD))).alias("words")).where((F.col("n") > 1) & (F.col("words") >= length))
+    begins = begins.union(alone.select(F.lit(None).cast("long"), "t1", "t2", F.lit(0), F.col("words") - length))
+
+    by = Window.partitionBy(*DOC).orderBy("a", "b")
+    reach = F.max("b").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    runs = begins.withColumn("new", F.when(reach.isNull() | (F.col("a") > reach + length), 1).otherwise(0)).withColumn("nth", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    passages = runs.groupBy(*DOC, "nth").agg(F.min("a").cast("long").alias("start_word"), (F.max("b") + length).cast("long").alias("end_word"))
+    return passages.select(F.col("id").alias("doc_id"), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "t1", "t2")
+
+
+def with_characters(docs: DataFrame, passages: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``passages`` of ``docs`` with start_char and end_char, in code points of the text, and the passage's text."""
+    own = passages.groupBy(F.col("doc_id").alias("pid"), F.col("t1").alias("p1"), F.col("t2").alias("p2")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
+    texts = _documents(docs, id_col, text_col).dropDuplicates(DOC)
+    both = texts.join(own, texts["id"].eqNullSafe(F.col("pid")) & (F.col("t1") == F.col("p1")) & (F.col("t2") == F.col("p2"))).select(*DOC, "body", "spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            per = b.column(4).value_lengths().to_numpy()
+            flat, first = b.column(4).flatten(), np.concatenate([[0], np.cumsum(per)])
+            begin, end = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+            for a, z, data, offsets in T.spans(b.column(3)):
+                w = T.words(data, offsets, hashed=False)
+                chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                doc, on = np.repeat(np.arange(z - a), per[a:z]), slice(first[a], first[z])
+                x, y = w.start[w.first[doc] + begin[on]], w.end[w.first[doc] + end[on] - 1]
+                base, own = chars[offsets[doc]], pa.array(doc + a)
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(own) for i in range(3)), pa.array(begin[on]), pa.array(end[on]), pa.array(chars[x] - base), pa.array(chars[y] - base), pa.array([bytes(data[i:j]).decode() for i, j in zip(x, y, strict=True)], pa.string())], [*DOC, "start_word", "end_word", "start_char", "end_char", "passage"])
+
+    return both.mapInArrow(run, "id long, t1 long, t2 long, start_word long, end_word long, start_char long, end_char long, passage string").withColumnRenamed("id", "doc_id")
 
 
 def op4_query(spark, sf_dir):

@@ -1,7 +1,7 @@
 import hashlib
 from collections import defaultdict
 
-from quillspark.llm import line_dedup
+from quillspark.llm import _common
 from quillspark.llm.line_dedup import drop_common_lines, op7_query
 
 LONG = "This line has at least forty code points, it does."
@@ -45,7 +45,7 @@ def test_threshold_counts_documents(spark, documents):
 
 
 def test_lines_of_hot_keys_and_of_others(spark, documents, write, monkeypatch):
-    monkeypatch.setattr(line_dedup, "HOT_LINES", 20)
+    monkeypatch.setattr(_common, "HOT_ROWS", 20)
     rows = [(i, f"{LONG} hot\n{LONG} {i % 9}\nown {i}\n{LONG} hot", "a") for i in range(60)] + [(None, f"{LONG} hot\n{LONG} 3", "b")] * 2
     got = op7_query(spark, write(documents=documents(rows))).collect()
     assert sorted(map(tuple, got), key=str) == expected(rows)

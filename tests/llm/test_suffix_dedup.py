@@ -3,6 +3,8 @@ import random
 import numpy as np
 import pytest
 
+from quillspark.llm import _common
+from quillspark.llm import _text as T
 from quillspark.llm import suffix_dedup as D
 
 
@@ -44,9 +46,31 @@ def corpus():
     return rows
 
 
-def test_against_brute_force(spark, documents, monkeypatch):
-    monkeypatch.setattr(D, "CHUNK_BYTES", 4_000)
-    rows = corpus()
+@pytest.mark.parametrize("parts,hot", [(1, 1000), (7, 1000), (4, 5)])
+def test_against_brute_force(spark, documents, monkeypatch, parts, hot):
+    monkeypatch.setattr(_common, "HOT_ROWS", hot)
+    monkeypatch.setattr(T, "SPAN", 4_000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(parts == 1).lower())
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        rows = corpus()
+        got = D.repeated_passages(documents([(i, t, "s") for i, t in rows]).repartition(parts)).select("doc_id", "start_word", "end_word", "n_words").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def test_near_copies_with_edits(spark, documents):
+    """Copies that differ from each other on both sides of what they share: neighbours alone don't settle them."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(140)]
+    rows = []
+    for i in range(60):
+        t = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            t[rng.randrange(len(t))] = rng.choice(["x", "y", f"own{i}"])
+        rows.append((i, " ".join(t)))
     got = D.repeated_passages(documents([(i, t, "s") for i, t in rows])).select("doc_id", "start_word", "end_word", "n_words").collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
 
@@ -54,10 +78,18 @@ def test_against_brute_force(spark, documents, monkeypatch):
 def test_characters_and_copies(documents):
     text = "é " + " ".join(f"w{i}" for i in range(60)) + "\tend."
     rows = [(1, text), (2, text), (2, text), (3, "x " + text), (4, None), (5, ""), (None, text)]
-    for r in D.repeated_passages(documents([(i, t, "s") for i, t in rows])).collect():
+    docs = documents([(i, t, "s") for i, t in rows])
+    passages = D.repeated_passages(docs)
+    assert sorted((str(r.doc_id), r.n_words) for r in passages.collect()) == [("1", 62), ("2", 62), ("3", 62), ("None", 62)]
+    for r in D.with_characters(docs, passages).collect():
         t = "x " + text if r.doc_id == 3 else text
-        assert t[r.start_char : r.end_char].split() == t.split()[r.start_word : r.end_word]
-        assert r.n_words == 62
+        assert t[r.start_char : r.end_char] == r.passage and r.passage.split() == t.split()[r.start_word : r.end_word]
+
+
+def test_texts_without_an_id(documents):
+    text, other = " ".join(f"w{i}" for i in range(70)), " ".join(f"v{i}" for i in range(49))
+    got = D.repeated_passages(documents([(None, text, "s"), (None, text, "s"), (None, other, "s"), (None, other, "s"), (1, other, "s")])).collect()
+    assert [(r.doc_id, r.start_word, r.end_word) for r in got] == [(None, 0, 70)]
 
 
 def test_one_document_alone(documents, edges):
@@ -69,4 +101,8 @@ def test_one_document_alone(documents, edges):
 @pytest.mark.parametrize("n,w", [(0, 3), (2, 3), (3, 3), (20, 1), (50, 7)])
 def test_sliding_least(n, w):
     x = np.random.default_rng(n).integers(0, 99, n).astype(np.uint64)
-    assert list(D.sliding_least(x, w)) == [min(x[i : i + w]) for i in range(max(0, n - w + 1))]
+    least, at = D.sliding_least(x, w)
+    parts = [list(x[i : i + w]) for i in range(max(0, n - w + 1))]
+    assert list(least) == [min(p) for p in parts] and list(at) == [i + p.index(min(p)) for i, p in enumerate(parts)]
+    same = np.zeros(n, dtype=np.uint64)
+    assert list(D.sliding_least(same, w)[1]) == list(range(max(0, n - w + 1)))
