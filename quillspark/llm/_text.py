@@ -123,6 +123,13 @@ def window_hash(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out + np.uint64(k))
 
 
+def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of h[start:end] for each pair."""
+    acc = np.zeros(len(h) + 1, dtype=np.uint64)
+    np.cumsum(h * powers(_Q, len(h)), out=acc[1:])
+    return mix((acc[end] - acc[start]) * powers(_QINV, len(h) + 1)[start] + (end - start).astype(np.uint64))
+
+
 def windows_inside(first: np.ndarray, n_windows: int, k: int) -> np.ndarray:
     """Mask of window starts 0..n_windows-1 whose k words lie in one document."""
     ok = np.ones(n_windows, dtype=bool)

@@ -32,6 +32,10 @@ LENGTH, K = 50, 10
 BYTES = 6
 _U = np.uint64
 DOC = ["id", "t1", "t2"]
+SUFFIX = [*DOC, "cls", "pos", "low", "high", "key"]
+_SUFFIX = "id long, t1 long, t2 long, cls long, pos array<int>, low int, high int, key long"
+#: Suffixes that a task hands over, and compares, at a time.
+BATCH = 4_096
 
 
 def sliding_least(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,14 +79,18 @@ def minimisers(w: T.Words, length: int, k: int) -> tuple[np.ndarray, ...]:
     return at[new], doc[new], at[new] - on[last], at[new] - on[new], T.mix(h[at[new]])
 
 
-def _marks(length: int, k: int):
+def _keys(length: int, k: int):
+    """(id, t1, t2, body) -> each document's distinct keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a, _, data, offsets in T.spans(b.column(3)):
                 w = T.words(data, offsets)
-                at, doc, low, high, key = minimisers(w, length, k)
-                own = pa.array(doc + a)
-                yield pa.RecordBatch.from_arrays([*(b.column(i).take(own) for i in range(3)), pa.array((at - w.first[doc]).astype(np.int32)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(key.view(np.int64))], [*DOC, "pos", "low", "high", "key"])
+                _, doc, _, _, key = minimisers(w, length, k)
+                order = np.lexsort((key, doc))
+                new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (doc[order][1:] != doc[order][:-1])])[: len(doc)]
+                own = pa.array(doc[order][new] + a)
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(own) for i in range(3)), pa.array(key[order][new].view(np.int64))], [*DOC, "key"])
 
     return run
 
@@ -92,28 +100,37 @@ def _ranges(start: np.ndarray, n: np.ndarray, step: int) -> np.ndarray:
     return np.repeat(start, n) + step * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
 
 
-def _suffixes(length: int):
-    """(id, t1, t2, body, marks) -> the words from each retained suffix to the right, and from it to the left."""
+def _suffixes(length: int, k: int):
+    """(id, t1, t2, body, keys) -> the words from each retained suffix with such a key to the right, and from it to the left.
+
+    Suffixes of a document with the same words on both sides are one row (``cls``, a hash of them) with all their places.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            marks = b.column(4)
-            per, flat = marks.value_lengths().to_numpy(), marks.flatten()
+            per, flat = b.column(4).value_lengths().to_numpy(), b.column(4).flatten().to_numpy().view(_U)
             first = np.concatenate([[0], np.cumsum(per)])
-            pos, low, high = (flat.field(i).to_numpy().astype(np.int64) for i in range(3))
-            keys = flat.field(3)
             for a, z, data, offsets in T.spans(b.column(3)):
                 w = T.words(data, offsets)
+                at, doc, low, high, key = minimisers(w, length, k)
+                in_doc = lambda d, x: T.mix(x + (d.astype(_U) << _U(40)))
+                on = np.isin(in_doc(doc, key), in_doc(np.repeat(np.arange(z - a), per[a:z]), flat[first[a] : first[z]]))
+                at, doc, low, high, key = (x[on] for x in (at, doc, low, high, key))
+                cls = T.mix(T.span_hash(w.hash, at - high, at + length - low) + (low * 64 + high).astype(_U))
+                order = np.lexsort((at, cls, doc))
+                at, doc, low, high, key, cls = (x[order] for x in (at, doc, low, high, key, cls))
+                new = np.flatnonzero(np.concatenate([[True], (cls[1:] != cls[:-1]) | (doc[1:] != doc[:-1])])[: len(doc)])
+                places = pa.ListArray.from_arrays(pa.array(np.append(new, len(at)).astype(np.int32)), pa.array((at - w.first[doc]).astype(np.int32)))
+                at, doc, low, high, key, cls = (x[new] for x in (at, doc, low, high, key, cls))
                 raw = w.hash.view(np.uint8).reshape(-1, 8)[:, :BYTES]
-                on = slice(first[a], first[z])
-                doc = np.repeat(np.arange(z - a), per[a:z])
-                at = w.first[doc] + pos[on]
                 sides = []
-                for start, n, step in ((at, length - low[on], 1), (at - 1, high[on], -1)):
+                for start, n, step in ((at, length - low, 1), (at - 1, high, -1)):
                     ends = np.concatenate([[0], np.cumsum(n * BYTES)]).astype(np.int64)
                     sides.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(raw[_ranges(start, n, step)]).tobytes())]).cast(pa.binary()))
                 own = pa.array(doc + a)
-                yield pa.RecordBatch.from_arrays([*(b.column(i).take(own) for i in range(3)), *(pa.array(x[on].astype(np.int32)) for x in (pos, low, high)), keys.slice(first[a], first[z] - first[a]), *sides], [*DOC, "pos", "low", "high", "key", "right", "left"])
+                yield from pa.Table.from_arrays(
+                    [*(b.column(i).take(own) for i in range(3)), pa.array(cls.view(np.int64)), places, pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(key.view(np.int64)), *sides], [*SUFFIX, "right", "left"]
+                ).to_batches(max_chunksize=BATCH)
 
     return run
 
@@ -137,7 +154,7 @@ def _common_words(m: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) ->
     return np.minimum(differ.argmax(axis=1), n[i])
 
 
-_RESULT = "id long, t1 long, t2 long, pos int, low int, high int, key long, lo1 int, hi1 int, lo2 int, hi2 int, on_right int, on_left int"
+_RESULT = f"{_SUFFIX}, lo1 int, hi1 int, lo2 int, hi2 int, on_right int, on_left int"
 _EDGE = "part int, seq long, right binary, left binary"
 
 
@@ -179,7 +196,7 @@ def _neighbours(length: int, longest: int, edges: bool):
             own = t.slice(first, last - first)
             only = pa.array(np.arange(last - first), mask=~edge[first:last])  # of rows that aren't at an edge nothing is shown
             seq += last - first
-            columns = {c: own.column(c) for c in (*DOC, "pos", "low", "high", "key")} | {c: pa.array(got[c].astype(np.int32)) for c in ("lo1", "hi1", "lo2", "hi2", "on_right", "on_left")}
+            columns = {c: own.column(c) for c in SUFFIX} | {c: pa.array(got[c].astype(np.int32)) for c in ("lo1", "hi1", "lo2", "hi2", "on_right", "on_left")}
             if edges:
                 columns |= {"part": pa.array(np.full(last - first, part, dtype=np.int32), mask=~edge[first:last]), "seq": pa.array(np.arange(seq - (last - first), seq))}
                 columns |= {c: own.column(c).combine_chunks().take(only) for c in ("right", "left")}
@@ -238,21 +255,20 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     group: suffixes stream by, and only one document's wait for their next neighbour.
     """
     body = _documents(docs, id_col, text_col)
-    marks, marks_path = cut(body.mapInArrow(_marks(length, k), "id long, t1 long, t2 long, pos int, low int, high int, key long"), keep_path=True)
-    shared = cut(marks.groupBy("key").agg(_in_two_documents().alias("two"), F.count("*").alias("held")).where("two").drop("two"))
-    of_doc = meet(marks, shared, ["key"]).groupBy(*DOC).agg(F.collect_set(F.struct("pos", "low", "high", "key")).alias("marks"))
+    keys, keys_path = cut(body.mapInArrow(_keys(length, k), "id long, t1 long, t2 long, key long"), keep_path=True)
+    shared = cut(keys.groupBy("key").agg(_in_two_documents().alias("two"), F.count("*").alias("held")).where("two").drop("two"))
+    of_doc = meet(keys, shared, ["key"]).groupBy(*DOC).agg(F.collect_set("key").alias("keys"))
     texts = body.dropDuplicates(DOC)
     same = (texts["id"].eqNullSafe(of_doc["id"])) & (texts["t1"] == of_doc["t1"]) & (texts["t2"] == of_doc["t2"])
-    suffixes = texts.join(of_doc, same).select(texts["id"], texts["t1"], texts["t2"], "body", "marks").mapInArrow(_suffixes(length), "id long, t1 long, t2 long, pos int, low int, high int, key long, right binary, left binary")
-    suffixes, suffixes_path = cut(suffixes, keep_path=True)
-    remove(docs.sparkSession, marks_path)
+    suffixes = cut(texts.join(of_doc, same).select(texts["id"], texts["t1"], texts["t2"], "body", "keys").mapInArrow(_suffixes(length, k), f"{_SUFFIX}, right binary, left binary"))
+    remove(docs.sparkSession, keys_path)
 
     longest = length - k
     found = []
     for order in (["right", "left"], ["key", "left", "right"]):
-        ordered = suffixes.repartitionByRange(*order, *DOC).sortWithinPartitions(*order, *DOC, "pos")
+        ordered = suffixes.repartitionByRange(*order, *DOC).sortWithinPartitions(*order, *DOC, "cls")
         got = cut(ordered.mapInArrow(_neighbours(length, longest, True), f"{_RESULT}, {_EDGE}"))
-        borders = got.where("part is not null").select(*DOC, "pos", "low", "high", "key", "right", "left", "part", "seq")
+        borders = got.where("part is not null").select(*SUFFIX, "right", "left", "part", "seq")
         across = borders.repartition(1).sortWithinPartitions("part", "seq").mapInArrow(_neighbours(length, longest, False), _RESULT)
         found += [got.drop("part", "seq", "right", "left"), across]
     every = found[0]
@@ -260,12 +276,12 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         every = every.unionByName(f)
     span = lambda i: F.struct(F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi"))
     settled = cut(
-        every.groupBy(*DOC, "pos", "low", "high", "key")
-        .agg(F.array_distinct(F.flatten(F.collect_list(F.filter(F.array(span(1), span(2)), lambda s: s["lo"] <= s["hi"])))).alias("spans"), F.max("on_right").alias("on_right"), F.max("on_left").alias("on_left"))
+        every.groupBy(*DOC, "cls", "low", "high", "key")
+        .agg(F.first("pos").alias("pos"), F.array_distinct(F.flatten(F.collect_list(F.filter(F.array(span(1), span(2)), lambda s: s["lo"] <= s["hi"])))).alias("spans"), F.max("on_right").alias("on_right"), F.max("on_left").alias("on_left"))
     )
     least, most = F.greatest("low", F.lit(length) - F.col("on_right")), F.least("high", "on_left")
     unsure = F.filter(F.when(least <= most, F.sequence(least, most)), lambda l: ~F.exists("spans", lambda s: (s["lo"] <= l) & (l <= s["hi"])))
-    begins = settled.select(*DOC, F.explode("spans").alias("s"), "pos").select(*DOC, (F.col("pos") - F.col("s.hi")).alias("a"), (F.col("pos") - F.col("s.lo")).alias("b"))
+    begins = settled.select(*DOC, F.explode("spans").alias("s"), "pos").select(*DOC, "s", F.explode("pos").alias("p")).select(*DOC, (F.col("p") - F.col("s.hi")).alias("a"), (F.col("p") - F.col("s.lo")).alias("b"))
 
     wanted = cut(settled.select("key", F.explode(unsure).alias("l")).distinct())
     if not wanted.isEmpty():
@@ -275,7 +291,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         prints = cut(around.select(*DOC, "pos", "l", "key", F.xxhash64(F.lit(1), *words).alias("f1"), F.xxhash64(F.lit(2), *words).alias("f2")))
         twins = cut(prints.groupBy("key", "l", "f1", "f2").agg(_in_two_documents().alias("two"), F.count("*").alias("held")).where("two").drop("two"))
         more = meet(prints, twins, ["key", "l", "f1", "f2"])
-        begins = begins.union(more.select(*DOC, (F.col("pos") - F.col("l")).alias("a"), (F.col("pos") - F.col("l")).alias("b")))
+        begins = begins.union(more.select(*DOC, "l", F.explode("pos").alias("p")).select(*DOC, (F.col("p") - F.col("l")).alias("a"), (F.col("p") - F.col("l")).alias("b")))
     alone = body.where("id is null").groupBy("t1", "t2").agg(F.count("*").alias("n"), F.first(F.regexp_count("body", F.lit(WORD))).alias("words")).where((F.col("n") > 1) & (F.col("words") >= length))
     begins = begins.union(alone.select(F.lit(None).cast("long"), "t1", "t2", F.lit(0), F.col("words") - length))
 
