@@ -6,6 +6,7 @@ import atexit
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,20 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    """A session setting for the time of a block."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def cut(df: DataFrame, keep_path: bool = False):
     """Write ``df`` to a table in the shared folder and return it read back.
 
@@ -55,15 +70,8 @@ def cut(df: DataFrame, keep_path: bool = False):
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillspark-cut/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with setting(spark, _CLEANUP, "true"):
         df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
     atexit.register(_remove_quietly, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     return (out, path) if keep_path else out
@@ -80,14 +88,19 @@ def _remove_quietly(spark: SparkSession, path: str) -> None:
 HOT_KEYS, HOT_ROWS = 65_536, 1_000
 
 
+def hot_keys(facts: DataFrame, held: str = "held") -> DataFrame:
+    """The rows of ``facts`` whose keys hold the most rows, by ``held``: fewer than HOT_KEYS, so they may be broadcast."""
+    share = (facts.agg(F.sum(held).alias("all")).first()["all"] or 0) // HOT_KEYS
+    return facts.where(F.col(held) > max(share, HOT_ROWS))
+
+
 def meet(rows: DataFrame, facts: DataFrame, on: list[str], held: str = "held") -> DataFrame:
     """``rows`` joined with ``facts``, a row for each key, whose column ``held`` says how many rows have that key.
 
     The few keys that hold many rows are broadcast, so that their rows stay where they are; the others meet in a
     shuffle, in which no key has over 1 / HOT_KEYS of the rows (or HOT_ROWS).
     """
-    share = (facts.agg(F.sum(held).alias("all")).first()["all"] or 0) // HOT_KEYS
-    few = facts.where(F.col(held) > max(share, HOT_ROWS))
+    few = hot_keys(facts, held)
     hot = F.broadcast(few.select(*on))
     return rows.join(F.broadcast(few), on).unionByName(rows.join(hot, on, "left_anti").join(facts.join(hot, on, "left_anti"), on))
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import _text as T
-from quillspark.llm._common import WORD, cut, load, meet, remove
+from quillspark.llm._common import WORD, cut, hot_keys, load, meet, remove, setting
 
 LENGTH, K = 50, 10
 #: Bytes of a word in a suffix.
@@ -36,6 +36,8 @@ SUFFIX = [*DOC, "cls", "pos", "low", "high", "key"]
 _SUFFIX = "id long, t1 long, t2 long, cls long, pos array<int>, low int, high int, key long"
 #: Suffixes that a task hands over, and compares, at a time.
 BATCH = 4_096
+#: Suffixes that a range partition's borders are drawn from, for each partition.
+SAMPLE = "20"
 
 
 def sliding_least(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -250,9 +252,10 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     are two. Null, empty and short texts (fewer than ``length`` words) have no passages, nor has a passage that repeats in one document
     only. Texts are compared whole, however long. Empty tables give no rows; columns beside the two named aren't read, whatever their names.
 
-    Suffixes are sorted in range partitions by all their words, so a passage that a third of all documents share is spread over
-    partitions; neighbours across their borders are compared from the first and last documents of each. No task holds a
-    group: suffixes stream by, and only one document's wait for their next neighbour.
+    Suffixes meet by their first ``k`` words. Those of the few runs of ``k`` words that many documents share are dealt to range partitions
+    by all their words, so a passage that a third of all documents hold is spread over partitions; neighbours across borders
+    are compared from the first and last documents of each. No task holds a group: sorted suffixes stream by, and only
+    one document's wait for their next neighbour.
     """
     body = _documents(docs, id_col, text_col)
     keys, keys_path = cut(body.mapInArrow(_keys(length, k), "id long, t1 long, t2 long, key long"), keep_path=True)
@@ -265,12 +268,15 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     longest = length - k
     found = []
-    for order in (["right", "left"], ["key", "left", "right"]):
-        ordered = suffixes.repartitionByRange(*order, *DOC).sortWithinPartitions(*order, *DOC, "cls")
-        got = cut(ordered.mapInArrow(_neighbours(length, longest, True), f"{_RESULT}, {_EDGE}"))
+    hot = F.broadcast(hot_keys(shared).select("key"))
+    for order in (["key", "right", "left"], ["key", "left", "right"]):
+        whole = suffixes.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions(*order, *DOC, "cls")
+        split = suffixes.join(hot, "key", "left_semi").repartitionByRange(*order, *DOC).sortWithinPartitions(*order, *DOC, "cls")
+        with setting(docs.sparkSession, "spark.sql.execution.rangeExchange.sampleSizePerPartition", SAMPLE):  # of rows of some 500 bytes
+            got = cut(split.select(*SUFFIX, "right", "left").mapInArrow(_neighbours(length, longest, True), f"{_RESULT}, {_EDGE}"))
         borders = got.where("part is not null").select(*SUFFIX, "right", "left", "part", "seq")
         across = borders.repartition(1).sortWithinPartitions("part", "seq").mapInArrow(_neighbours(length, longest, False), _RESULT)
-        found += [got.drop("part", "seq", "right", "left"), across]
+        found += [whole.select(*SUFFIX, "right", "left").mapInArrow(_neighbours(length, longest, False), _RESULT), got.drop("part", "seq", "right", "left"), across]
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
