@@ -18,29 +18,29 @@ _U = np.uint64
 # both compressed.
 
 
-def _squeeze(raw: bytes) -> bytes:
+def squeezed(raw: bytes) -> bytes:
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _unsqueeze(b: bytes) -> bytes:
+def unsqueezed(b: bytes) -> bytes:
     return pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True)
 
 
 def pack_keys(k: np.ndarray) -> bytes:
-    return _squeeze(np.diff(k, prepend=_U(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
+    return squeezed(np.diff(k, prepend=_U(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def unpack_keys(b: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(_unsqueeze(b), dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=_U)
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(unsqueezed(b), dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=_U)
 
 
 def pack_counts(c: np.ndarray) -> bytes:
     at = np.flatnonzero(c >= 255)
-    return _squeeze(np.array([len(c), len(at)], dtype="<i8").tobytes() + np.minimum(c, 255).astype(np.uint8).tobytes() + at.astype("<i8").tobytes() + c[at].astype("<i8").tobytes())
+    return squeezed(np.array([len(c), len(at)], dtype="<i8").tobytes() + np.minimum(c, 255).astype(np.uint8).tobytes() + at.astype("<i8").tobytes() + c[at].astype("<i8").tobytes())
 
 
 def unpack_counts(b: bytes) -> np.ndarray:
-    b = _unsqueeze(b)
+    b = unsqueezed(b)
     n, m = np.frombuffer(b, dtype="<i8", count=2)
     c = np.frombuffer(b, dtype=np.uint8, count=n, offset=16).astype(np.int64)
     c[np.frombuffer(b, dtype="<i8", count=m, offset=16 + n)] = np.frombuffer(b, dtype="<i8", count=m, offset=16 + n + 8 * m)

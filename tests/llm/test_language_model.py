@@ -60,23 +60,136 @@ def test_probabilities_sum_to_one(spark, documents):
     assert total < 1.0
 
 
-def test_table_counts_follow_the_conditional():
-    rng, r = np.random.default_rng(0), M.Restaurant(0.6, 1.5)
-    stirling = M.log_stirling(M.EXACT_COUNT, r.discount)
-    n, c, p, others = 40_000, 4, 0.2, 3.0
-    got = M.draw_tables(rng, np.full(n, c), np.ones(n, dtype=np.int64), np.full(n, others), np.full(n, p), r, stirling)
-    w = np.array([math.exp(stirling[c, t]) * np.prod([r.strength + r.discount * (others + k) for k in range(t)]) * p**t for t in range(1, c + 1)])
-    assert np.abs(np.bincount(got, minlength=c + 1)[1:] / n - w / w.sum()).max() < 0.01
-
-
-def test_large_counts_agree_with_exact(monkeypatch):
-    rng, r, n, c = np.random.default_rng(1), M.Restaurant(0.7, 1.0), 3_000, 20
-    exact = M.draw_tables(rng, np.full(n, c), np.ones(n, dtype=np.int64), np.full(n, 5.0), np.full(n, 0.05), r, M.log_stirling(M.EXACT_COUNT, r.discount)).mean()
-    monkeypatch.setattr(M, "EXACT_COUNT", 5)
-    t = np.ones(n, dtype=np.int64)
-    for _ in range(6):
-        t = M.draw_tables(rng, np.full(n, c), t, np.full(n, 5.0), np.full(n, 0.05), r, M.log_stirling(5, r.discount))
-    assert abs(t.mean() - exact) < 0.05 * exact
+def weights(c, y, d):
+    t = np.arange(1, c + 1)
+    w = M.log_stirling(c, d)[c, 1 : c + 1] + t * math.log(y)
+    w = np.exp(w - w.max())
+    return w / w.sum()
+
+
+@pytest.mark.parametrize("c,y", [(2, 0.3), (7, 2.0), (40, 15.0)])
+def test_tables_follow_their_weights(c, y):
+    n = 40_000
+    got = M.draw_tables(np.full(n, c), np.full(n, y), np.arange(n, dtype=np.uint64), 3, 0.6, M.log_stirling(60, 0.6))
+    assert np.abs(np.bincount(got, minlength=c + 1)[1:] / n - weights(c, y, 0.6)).max() < 0.012
+    assert (M.draw_tables(np.array([0, 1]), np.ones(2), np.zeros(2, dtype=np.uint64), 1, 0.6, M.log_stirling(3, 0.6)) == [0, 1]).all()
+
+
+@pytest.mark.parametrize("c,y", [(900, 0.5), (900, 6.0), (900, 300.0), (900, 5000.0)])
+def test_the_limit_for_many_customers(c, y):
+    n = 4_000
+    got = M.draw_tables(np.full(n, c), np.full(n, y), np.arange(n, dtype=np.uint64), 3, 0.8, M.log_stirling(8, 0.8))
+    w = weights(c, y, 0.8)
+    mean = w @ np.arange(1, c + 1)
+    sd = math.sqrt(w @ (np.arange(1, c + 1) - mean) ** 2)
+    assert abs(got.mean() - mean) < 0.03 * mean + 0.05 and abs(got.std() - sd) < 0.15 * sd + 0.1
+
+
+@pytest.mark.parametrize("shape", [0.3, 1.0, 7.5, 400.0])
+def test_gammas(shape):
+    x = M.gammas(np.full(50_000, shape), np.arange(50_000, dtype=np.uint64), 5)
+    assert x.min() > 0 and abs(x.mean() - shape) < 0.03 * shape + 0.01 and abs(x.var() - shape) < 0.06 * shape + 0.02
+
+
+def seated(corpus, rounds, seed):
+    """Brute force: every customer of every restaurant is taken from its table and seated again, one by one."""
+    rng = random.Random(seed)
+    vocabulary = sorted({w for _, w in corpus})
+    rooms = {u: {} for u, _ in corpus} | {None: {}}
+
+    def back(w):
+        """Probability of a word in the shared restaurant."""
+        n, t = sum(map(sum, rooms[None].values())), sum(map(len, rooms[None].values()))
+        own = rooms[None].get(w, [])
+        r = M.SHARED
+        return (sum(own) - r.discount * len(own) + (r.strength + r.discount * t) / (len(vocabulary) + 1)) / (n + r.strength)
+
+    def sit(u, w):
+        r, base = (M.SHARED, 1 / (len(vocabulary) + 1)) if u is None else (M.CONTEXT, back(w))
+        own = rooms[u].setdefault(w, [])
+        options = [k - r.discount for k in own] + [(r.strength + r.discount * sum(map(len, rooms[u].values()))) * base]
+        at = rng.choices(range(len(options)), options)[0]
+        if at < len(own):
+            own[at] += 1
+        else:
+            own.append(1)
+            if u is not None:
+                sit(None, w)
+
+    def leave(u, w):
+        own = rooms[u][w]
+        at = rng.choices(range(len(own)), own)[0]
+        own[at] -= 1
+        if not own[at]:
+            del own[at]
+            if u is not None:
+                leave(None, w)
+
+    for u, w in corpus:
+        sit(u, w)
+    total = Counter()
+    for i in range(rounds):
+        for u, w in corpus:
+            leave(u, w)
+            sit(u, w)
+        if i >= rounds // 10:
+            for u in rooms:
+                if u is not None:
+                    n, t = sum(map(sum, rooms[u].values())), sum(map(len, rooms[u].values()))
+                    for w in vocabulary:
+                        own = rooms[u].get(w, [])
+                        total[u, w] += (sum(own) - M.CONTEXT.discount * len(own) + (M.CONTEXT.strength + M.CONTEXT.discount * t) * back(w)) / (n + M.CONTEXT.strength)
+    return {k: v / (rounds - rounds // 10) for k, v in total.items()}
+
+
+def blocked(corpus, rounds):
+    """The operator's own sweeps, without Spark."""
+    names = sorted({x for pair in corpus for x in pair})
+    number = {x: np.uint64(i + 1) for i, x in enumerate(names)}
+    pairs = Counter((int(number[u]) << 32 | int(number[w])) for u, w in corpus)
+    keys = np.array(sorted(pairs), dtype=np.uint64)
+    count, start = np.array([pairs[int(k)] for k in keys]), M._bounds(keys)
+    words, word = np.unique(keys & np.uint64(0xFFFFFFFF), return_inverse=True)
+    tabled = M.log_stirling(60, M.CONTEXT.discount), M.log_stirling(200, M.SHARED.discount)
+    tables, v, one = np.ones(len(keys), dtype=np.int64), len(words), np.array([7], dtype=np.uint64)
+    of = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(keys))))
+    n = np.add.reduceat(count, start)
+    seats, mass, total = v, np.bincount(word, weights=tables), np.zeros((len(start), v))
+    rest = 1.0
+    for i in range(1, rounds):
+        p = (mass + rest / (v + 1)) / (mass.sum() + rest)
+        tables = M.sweep_contexts(keys, count, start, np.add.reduceat(tables, start), p[word], 64 * i, tabled[0])
+        customers = np.bincount(word, weights=tables, minlength=v).astype(np.int64)
+        y = M.SHARED.discount * M.gammas(np.array([M.SHARED.strength / M.SHARED.discount + seats]), one, 64 * i + 12)[0] / (v + 1)
+        shared, grains = M.sweep_shared(words, customers, y, 64 * i + 16, tabled[1])
+        mass, seats = grains / M._GRAIN, shared.sum()
+        rest = M.gammas(np.array([M.SHARED.strength + M.SHARED.discount * seats]), one, 64 * i + 8)[0]
+        if i >= rounds // 10:
+            back = (customers - M.SHARED.discount * shared + (M.SHARED.strength + M.SHARED.discount * seats) / (v + 1)) / (M.SHARED.strength + customers.sum())
+            own = np.add.reduceat(tables, start)
+            now = ((M.CONTEXT.strength + M.CONTEXT.discount * own) / (M.CONTEXT.strength + n))[:, None] * back[None, :]
+            np.add.at(now, (of, word), (count - M.CONTEXT.discount * tables) / (M.CONTEXT.strength + n[of]))
+            total += now
+    contexts = keys[start] >> np.uint64(32)
+    return {(names[int(u) - 1], names[int(w) - 1]): total[i, j] / (rounds - rounds // 10) for i, u in enumerate(contexts) for j, w in enumerate(words)}
+
+
+def test_sweeps_against_customers_seated_one_by_one():
+    rng = random.Random(3)
+    corpus = [(rng.choice("uuvx"), rng.choice("aaaaabbbcd")) for _ in range(60)]
+    want, got = seated(corpus, 1500, 1), blocked(corpus, 6000)
+    assert want.keys() == got.keys()
+    for k in want:
+        assert got[k] == pytest.approx(want[k], rel=0.05, abs=0.004), k
+
+
+def test_scores_do_not_depend_on_chunks_or_buckets(documents, monkeypatch):
+    docs = documents(corpus(120))
+    one = {r.doc_id: r.score for r in M.score_documents(docs).collect()}
+    monkeypatch.setattr(M, "CHUNK_BYTES", 4_000)
+    monkeypatch.setattr(M, "BUCKET_BYTES", 1_000)
+    other = {r.doc_id: r.score for r in M.score_documents(docs.repartition(9)).collect()}
+    assert all(other[i] == pytest.approx(one[i], rel=1e-12) for i in one)
 
 
 def test_stirling():
