@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from quillspark.llm._common import lean
+
 _U = np.uint64
 
 
@@ -65,6 +67,7 @@ def distinct(key: np.ndarray, n: int) -> tuple[list[np.ndarray], np.ndarray]:
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
     """Rows sorted by their first ``keys`` columns, a table for each key."""
+    lean()
     at, held = None, []
     for b in batches:
         lead = list(zip(*(c.to_pylist() for c in b.columns[:keys]), strict=True))
@@ -81,6 +84,8 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
             i = j
     if held:
         yield at, pa.Table.from_batches(held)
+    held = []
+    lean(end=True)
 
 
 #: Rows that chunks send.

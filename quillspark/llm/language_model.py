@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import _text as T
-from quillspark.llm._common import crc_mod, cut, load, remove
+from quillspark.llm._common import crc_mod, cut, lean, load, remove
 from quillspark.llm._exchange import PIECE, bucket_of, distinct, grouped, merged, pack_counts, pack_keys, piece, unpack_counts, unpack_keys, unsqueezed, squeezed
 
 #: Bytes of text of a chunk, and of the text whose pairs one bucket holds.
-CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
+CHUNK_BYTES, BUCKET_BYTES = 5 << 20, 12 << 20
 #: Sweeps of the sampler before the samples that are averaged, and those samples.
-BURN, SAMPLES = 3, 3
+BURN, SAMPLES = 2, 2
 #: Customers of a dish up to which its tables are drawn with tabulated Stirling numbers.
 TABLED = 1_024
 
@@ -139,12 +139,13 @@ def draw_tables(count: np.ndarray, y: np.ndarray, key: np.ndarray, tag: int, dis
 
 
 def sweep_contexts(keys: np.ndarray, count: np.ndarray, start: np.ndarray, tables: np.ndarray, p: np.ndarray, tag: int, stirling: np.ndarray) -> np.ndarray:
-    """New tables of every pair (sorted ``keys``, training counts), given ``tables`` of each context, whose pairs begin at
-    ``start``, and each pair's word's probability ``p`` in the shared restaurant."""
-    context = keys[start] >> _HALF
-    x = gammas(CONTEXT.strength / CONTEXT.discount + tables, T.mix(context + _U(77)), tag)
-    of = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(keys))))
-    return draw_tables(count, CONTEXT.discount * x[of] * p, keys, tag + 2, CONTEXT.discount, stirling)
+    """New tables of the pairs with more than one customer (of sorted ``keys`` with training counts), given ``tables`` of
+    each context, whose pairs begin at ``start``, and those pairs' words' probabilities ``p`` in the shared restaurant."""
+    more = np.flatnonzero(count > 1)
+    of = np.searchsorted(start, more, side="right") - 1
+    own, of = np.unique(of, return_inverse=True)
+    x = gammas(CONTEXT.strength / CONTEXT.discount + tables[own], T.mix((keys[start[own]] >> _HALF) + _U(77)), tag)
+    return draw_tables(count[more], CONTEXT.discount * x[of] * p, keys[more], tag + 2, CONTEXT.discount, stirling)
 
 
 def sweep_shared(words: np.ndarray, customers: np.ndarray, y: float, tag: int, stirling: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,25 +222,15 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces of one kind -> a bucket's keys with training counts; those without any aren't kept."""
     for (_, bucket), table in grouped(batches, 2):
         keys, count, _ = merged(table)
-        on = count > 0
-        yield _message(bucket, STATIC, -1, pack_keys(keys[on]), pack_counts(count[on]))
+        keys, count = keys[count > 0], count[count > 0]
+        words, word = np.unique(keys & _LOW, return_inverse=True)  # of pairs: their words, and how many have one customer
+        yield _message(bucket, STATIC, -1, pack_keys(keys), pack_counts(count), pack_counts(np.concatenate([words.astype(np.int64), np.bincount(word[count == 1], minlength=len(words))])))
 
 
 def _of(table: pa.Table, kind: int) -> list[dict]:
     return table.filter(pa.compute.equal(table.column("kind"), kind)).select(["src", "a", "b", "c"]).to_pylist()
 
 
-def _tell_words(keys: np.ndarray, tables: np.ndarray, bucket: int, n: int) -> Iterator[pa.RecordBatch]:
-    """A bucket's tables by word, to the buckets of the words."""
-    words, word = np.unique(keys & _LOW, return_inverse=True)
-    by = np.bincount(word, weights=tables, minlength=len(words)).astype(np.int64)
-    edge = np.searchsorted(bucket_of(words << _HALF, n), np.arange(n + 1))
-    for b in range(n):
-        if edge[b + 1] > edge[b]:
-            on = slice(edge[b], edge[b + 1])
-            yield _message(b, SENT, bucket, pack_keys(words[on]), pack_counts(by[on]))
-
-
 def _contexts(n: int, sweep: int, unseen: float, norm: float, tag: int):
     """A bucket's pairs, their state and the words' masses -> new state, and tables for the buckets of words.
 
@@ -254,21 +245,26 @@ def _contexts(n: int, sweep: int, unseen: float, norm: float, tag: int):
                 keys, count = unpack_keys(r["a"]), unpack_counts(r["b"])
                 start = _bounds(keys)
                 summed, kept = np.zeros(len(keys), dtype=np.int64), np.zeros(0, dtype=np.int64)
-                if sweep == 0 or not len(keys):
-                    tables = np.ones(len(keys), dtype=np.int64)
-                else:
+                words, by = unpack_counts(r["c"]).reshape(2, -1)
+                more = np.flatnonzero(count > 1)
+                word = np.searchsorted(words, (keys[more] & _LOW).astype(np.int64))
+                tables = np.ones(len(keys), dtype=np.int64)
+                if sweep and len(keys):
                     (state,) = _of(table, STATE)
                     told = sorted(_of(table, ANSWERED), key=lambda r: r["src"])
-                    words = np.concatenate([unpack_keys(x["a"]) for x in told])
-                    mass = np.concatenate([np.frombuffer(unsqueezed(x["b"]), dtype="<i8") for x in told])
-                    p = (mass[np.searchsorted(words, keys & _LOW)] + unseen) / norm
-                    tables = sweep_contexts(keys, count, start, unpack_counts(state["a"]), p, tag, stirling)
+                    mass = np.concatenate([np.frombuffer(unsqueezed(x["b"]), dtype="<i8") for x in told])  # in the order of words
+                    tables[more] = sweep_contexts(keys, count, start, unpack_counts(state["a"]), (mass[word] + unseen) / norm, tag, stirling)
                     if sweep > BURN:
                         summed, kept = unpack_counts(state["b"]) if state["b"] else summed, unpack_counts(state["c"]) if state["c"] else kept
                         summed, kept = summed + tables, np.concatenate([kept, np.add.reduceat(tables, start)])
                 own = pack_counts(np.add.reduceat(tables, start))
                 yield _message(bucket, STATE, -1, own, pack_counts(summed) if sweep > BURN else b"", pack_counts(kept) if sweep > BURN else b"")
-                yield from _tell_words(keys, tables, bucket, n)
+                by = by + np.bincount(word, weights=tables[more], minlength=len(words)).astype(np.int64)
+                edge = np.searchsorted(bucket_of(words.astype(_U) << _HALF, n), np.arange(n + 1))
+                for b in range(n):
+                    if edge[b + 1] > edge[b]:
+                        on = slice(edge[b], edge[b + 1])
+                        yield _message(b, SENT, bucket, pack_keys(words[on].astype(_U)), pack_counts(by[on]))
 
     return run
 
@@ -283,7 +279,7 @@ def _words(sweep: int, y: float, tag: int):
         for (bucket,), table in grouped(batches, 1):
             for r in _of(table, STATIC):
                 keys, count = unpack_keys(r["a"]), unpack_counts(r["b"])
-                words = np.unique(keys >> _HALF)
+                words = keys[_bounds(keys)] >> _HALF
                 told = [(x["src"], unpack_keys(x["a"]), unpack_counts(x["b"])) for x in _of(table, SENT)]
                 customers = np.zeros(len(words), dtype=np.int64)
                 for _, w, t in told:
@@ -295,7 +291,7 @@ def _words(sweep: int, y: float, tag: int):
                     kept = pack_counts(np.concatenate([*old, customers, tables]))
                 yield _message(bucket, STATE, -1, kept, sums=(len(keys), int(count.sum()), int(customers.sum()), int(tables.sum()), int(mass.sum())))
                 for src, w, _ in told:
-                    yield _message(src, ANSWERED, bucket, pack_keys(w), squeezed(mass[np.searchsorted(words, w)].astype("<i8").tobytes()))
+                    yield _message(src, ANSWERED, bucket, b"", squeezed(mass[np.searchsorted(words, w)].astype("<i8").tobytes()))
 
     return run
 
@@ -323,7 +319,7 @@ def _told(kind: int):
             static, state = _of(table, STATIC), _of(table, STATE)
             keys, count = (unpack_keys(static[0]["a"]), unpack_counts(static[0]["b"])) if static else (np.zeros(0, dtype=_U), np.zeros(0, dtype=np.int64))
             if kind == 0:
-                words = np.unique(keys >> _HALF)
+                words = keys[_bounds(keys)] >> _HALF
                 kept = (unpack_counts(state[0]["a"]) if len(keys) else np.zeros(0, dtype=np.int64)).reshape(SAMPLES, 2, len(words))
                 for r in _of(table, ASKED):
                     asked = unpack_keys(r["a"])
@@ -348,8 +344,8 @@ def _scores(n: int, n_train: int, vocabulary: int, customers: np.ndarray, tables
     """(chunk's documents, chunk's answers) -> a row for each document."""
 
     def run(key, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = docs.column("body")
-        t = tokens(texts)
+        lean()
+        t = tokens(docs.column("body"))
         by = {(r["kind"], r["bucket"]): r for r in answers.to_pylist()}
         keys, place = distinct(t.word, n)
         rows = [by[0, i] for i in range(n) if len(keys[i])]
@@ -363,6 +359,7 @@ def _scores(n: int, n_train: int, vocabulary: int, customers: np.ndarray, tables
         known = (c > 0)[place]
 
         pairs, at = distinct(pair_keys(t), n)
+        doc, t = t.doc, None
         count, summed, context, of, shift = [], [], [], [], 0
         for i in range(n):
             if len(pairs[i]):
@@ -379,10 +376,11 @@ def _scores(n: int, n_train: int, vocabulary: int, customers: np.ndarray, tables
         back = (CONTEXT.strength + CONTEXT.discount * context[1:]) / below
         p = seen[at] + (back[:, of[at]] * shared[:, place]).mean(axis=0)
         m = len(docs)
-        add = lambda w: np.bincount(t.doc, weights=w, minlength=m)
+        add = lambda w: np.bincount(doc, weights=w, minlength=m)
+        by = keys = pairs = None
         return pa.table(
             {
-                "doc_id": docs.column("id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(np.bincount(t.doc, minlength=m).astype(np.int64)), "n_known": pa.array(add(known).astype(np.int64)),
+                "doc_id": docs.column("id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(np.bincount(doc, minlength=m).astype(np.int64)), "n_known": pa.array(add(known).astype(np.int64)),
                 "train_tokens": pa.array(np.full(m, n_train, dtype=np.int64)), "base_score": pa.array(add(base)), "score": pa.array(add(np.log10(p))),
             }
         )
@@ -405,9 +403,9 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     chunks, n = max(1, math.ceil(size / CHUNK_BYTES)), max(12, math.ceil(size / BUCKET_BYTES))
     chunk = F.pmod(F.xxhash64(F.lit(seed), "id", F.xxhash64("body")), F.lit(chunks)).cast("int")
     dealt = rows.select(chunk.alias("chunk"), "id", (crc_mod(F.col("id"), folds) == held_out).alias("held_out"), "body")
-    pieces = cut(dealt.select("chunk", "id", (~F.col("held_out")).alias("train"), "body").repartition(chunks, "chunk").sortWithinPartitions("chunk").mapInArrow(_asked(n), PIECE))
+    pieces, pieces_path = cut(dealt.select("chunk", "id", (~F.col("held_out")).alias("train"), "body").repartition(chunks, "chunk").sortWithinPartitions("chunk").mapInArrow(_asked(n), PIECE), keep_path=True)
     by_bucket = lambda df: df.repartition(n, "bucket").sortWithinPartitions("bucket", "kind", "src")
-    static = [cut(pieces.where(F.col("kind") == kind).repartition(n, "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_added, MESSAGE)) for kind in (0, 1)]
+    static, static_paths = zip(*[cut(pieces.where(F.col("kind") == kind).repartition(n, "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_added, MESSAGE), keep_path=True) for kind in (0, 1)], strict=True)
 
     pairs, words, paths, samples = None, None, [], []
     sums = dict.fromkeys(_SUMS, 0)
@@ -428,12 +426,14 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         sums = {c: int(got[c]) for c in _SUMS}
         if sweep > BURN:
             samples.append((sums["customers"], sums["seats"]))
-        while len(paths) > 4:
+        while len(paths) > 2:
             remove(spark, paths.pop(0))
 
     asked = pieces.select("bucket", F.lit(ASKED).alias("kind"), F.col("chunk").alias("src"), F.col("keys").alias("a"), F.col("kind").alias("of"))
-    tell = lambda kind, state: by_bucket(asked.where(F.col("of") == kind).drop("of").unionByName(static[kind].select("bucket", "kind", "src", "a", "b"), allowMissingColumns=True).unionByName(state.where(F.col("kind") == STATE).select("bucket", "kind", "src", "a", "b", "c"), allowMissingColumns=True)).mapInArrow(_told(kind), ANSWER)
-    back = cut(tell(0, words).union(tell(1, pairs)))
+    tell = lambda kind, state, part: by_bucket(asked.where(F.col("of") == kind).drop("of").unionByName(static[kind].select("bucket", "kind", "src", "a", "b"), allowMissingColumns=True).unionByName(state.where(F.col("kind") == STATE).select("bucket", "kind", "src", "a", "b", "c"), allowMissingColumns=True).where(part)).mapInArrow(_told(kind), ANSWER)
+    back = cut(tell(0, words, "true")).union(cut(tell(1, pairs, "bucket % 2 = 0"))).union(cut(tell(1, pairs, "bucket % 2 = 1")))  # by halves, for less to shuffle at once
+    for path in (pieces_path, *static_paths, *paths):
+        remove(spark, path)
     customers, seats = (np.array(x) for x in zip(*samples, strict=True))
     score = _scores(n, sums["train"], sums["vocabulary"], customers, seats)
     return dealt.repartition(chunks, "chunk").groupBy("chunk").cogroup(back.repartition(chunks, "chunk").groupBy("chunk")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -158,7 +158,9 @@ def blocked(corpus, rounds):
     rest = 1.0
     for i in range(1, rounds):
         p = (mass + rest / (v + 1)) / (mass.sum() + rest)
-        tables = M.sweep_contexts(keys, count, start, np.add.reduceat(tables, start), p[word], 64 * i, tabled[0])
+        tables = np.add.reduceat(tables, start), np.ones(len(keys), dtype=np.int64)
+        tables[1][count > 1] = M.sweep_contexts(keys, count, start, tables[0], p[word][count > 1], 64 * i, tabled[0])
+        tables = tables[1]
         customers = np.bincount(word, weights=tables, minlength=v).astype(np.int64)
         y = M.SHARED.discount * M.gammas(np.array([M.SHARED.strength / M.SHARED.discount + seats]), one, 64 * i + 12)[0] / (v + 1)
         shared, grains = M.sweep_shared(words, customers, y, 64 * i + 16, tabled[1])
