@@ -78,14 +78,41 @@ def _slices(d: int, m: int) -> list[slice]:
     return [slice(a, z) for a, z in zip(edge[:-1], edge[1:], strict=True)]
 
 
-def _first(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k highest of a row, ties to smaller ids."""
-    if len(score) > 4 * k:
-        floor = np.partition(score, -k)[-k]
-        at = np.flatnonzero(score >= floor)
-    else:
-        at = np.arange(len(score))
-    return at[np.lexsort((ids[at], -score[at]))[:k]]
+def _reach(q: np.ndarray, c: np.ndarray, bound: float) -> np.ndarray:
+    """For slices of a query's and a candidate's components: no product of the two is higher (Cauchy-Schwarz, rounded up by
+    more than sums up to ``bound`` lose as doubles)."""
+    return np.sqrt((q.astype(float) ** 2).sum(axis=1))[:, None] * np.sqrt((c.astype(float) ** 2).sum(axis=1))[None, :] * (1 + 1e-9) + bound * 1e-12 + 1
+
+
+def sufficient(q: np.ndarray, c: np.ndarray, t: np.ndarray, slices: list[slice], bound: float, work: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, candidate, score) of every pair whose score reaches its query's cutoff, and maybe some that don't.
+
+    Slice after slice is multiplied; after each, a pair stays only while its known parts and the most that its missing
+    ones can add reach the cutoff, and the next slice is multiplied only for candidates that a query still wants. Once few
+    pairs are left, each has its missing slices resolved by itself. ``work`` collects how many components were multiplied.
+    """
+    columns, known = np.arange(len(c)), np.zeros((len(q), len(c)), dtype=np.int64)
+    alive = np.ones(known.shape, dtype=bool)
+    for n, s in enumerate(slices):
+        known = known + _products(q[:, s], c[columns][:, s], bound)
+        if work is not None:
+            work.append(len(q) * len(columns) * (s.stop - s.start))
+        rest = slice(s.stop, q.shape[1])
+        alive &= known + _reach(q[:, rest], c[columns][:, rest], bound) >= t[:, None] if n + 1 < len(slices) else known >= t[:, None]
+        left = int(alive.sum())
+        wanted = alive.any(axis=0)
+        columns, known, alive = columns[wanted], known[:, wanted], alive[:, wanted]
+        if n + 1 < len(slices) and left * 16 < len(q) * len(columns):
+            i, j = np.nonzero(alive)
+            score = known[i, j]
+            for lo in range(0, len(i), 1 << 16):
+                on = slice(lo, lo + (1 << 16))
+                score[on] += (q[i[on]][:, rest] * c[columns[j[on]]][:, rest]).sum(axis=1)
+            if work is not None:
+                work.append(len(i) * (rest.stop - rest.start))
+            return i, columns[j], score
+    i, j = np.nonzero(alive)
+    return i, columns[j], known[i, j]
 
 
 def search(table: DataFrame, queries: DataFrame, *, k: int = K, slices: int = SLICES) -> DataFrame:
@@ -93,15 +120,17 @@ def search(table: DataFrame, queries: DataFrame, *, k: int = K, slices: int = SL
 
     ``table`` and ``queries`` are (id, v array<long>). A query's own id is no candidate. Only vectors of a query's
     length are candidates for it; with fewer than ``k`` all are returned. An id that repeats among the candidates is
-    a candidate each time; a repeated query (same id and vector) is answered once. Empty tables give no rows.
+    a candidate each time; a repeated query (same id and vector) is answered once. Empty tables give no rows; columns
+    beside the two named aren't read, whatever their names.
 
     Candidates are packed in chunks and queries in blocks, and every chunk meets every block once in a phase.
-    1. In each slice of the components every tile lists its k highest partial scores for each query; the listed
-       candidates' whole scores, gathered over all tiles, give the k-th highest, a safe cutoff t for that query.
-    2. The cutoffs go to all tiles with the query blocks. A candidate whose score reaches t must reach t / slices in
-       some slice, so the candidates that do are sufficient.
-    3. Their missing slices are resolved exactly, those that reach t are gathered and the k best of them returned.
-    Rows of one phase are at most k for each query and tile.
+    1. Each chunk lists, in one slice of the components (slices in turn), its k highest partial scores for each query, and resolves
+       the whole scores of those it lists. The k-th highest of a query's, gathered over all chunks, is a safe cutoff.
+    2. The cutoffs go to all chunks with the query blocks, which collect a sufficient set: candidates that the cutoff can't
+       rule out by the slices known so far and a uniform bound on the missing ones.
+    3. Only for these the missing slices are resolved exactly; those that reach the cutoff are gathered, the k best returned.
+    Rows of one phase are at most k for each query and chunk. Phase 1 multiplies 1 / slices of all components, phases 2 and 3
+    at most all of them once.
     """
     table, queries = cut(table), queries.distinct()
     n, nq = table.count(), queries.count()
@@ -112,65 +141,53 @@ def search(table: DataFrame, queries: DataFrame, *, k: int = K, slices: int = SL
     asked = cut(_packed(queries.select(F.size("v").cast("long").alias("d"), deal(queries, blocks).alias("b"), "id", "v"), ["d", "b"]))
     every = lambda f, name, m: f.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
     tiles = lambda q: every(packed, "b", blocks).join(every(q.withColumnsRenamed({"ids": "qids", "vs": "qvs"}), "c", chunks), ["d", "c", "b"])
+    none = np.iinfo(np.int64).min
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batches:
-            for ids, vs, qids, qvs, d, b in zip(*(r.column(x) for x in ("ids", "vs", "qids", "qvs", "d", "b")), strict=True):
+            for ids, vs, qids, qvs, d, b, at in zip(*(r.column(x) for x in ("ids", "vs", "qids", "qvs", "d", "b", "c")), strict=True):
                 (ci, c), (qi, q) = _matrix(ids, vs), _matrix(qids, qvs)
-                bound = _bound(q, c)
-                parts = [_products(q[:, s], c[:, s], bound) for s in _slices(c.shape[1], slices)]
-                total = sum(parts)
-                rows, scores = [], []
-                for i in range(len(qi)):
-                    other = ci != qi[i]
-                    listed: set[int] = set()
-                    for p in parts:
-                        low = np.where(other, p[i], np.iinfo(np.int64).min)
-                        listed.update(np.argpartition(low, -k)[-k:].tolist() if len(low) > k else range(len(low)))
-                    own = np.array([x for x in listed if other[x]], dtype=int)
-                    best = own[_first(total[i][own], ci[own], k)] if len(own) else own
-                    rows += [i] * len(best)
-                    scores += total[i][best].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([d.as_py()] * len(rows), pa.int64()), pa.array([b.as_py()] * len(rows), pa.int64()), pa.array(rows, pa.int64()), pa.array(scores, pa.int64())], ["d", "b", "row", "score"])
+                own = _slices(c.shape[1], slices)
+                s = own[at.as_py() % len(own)]
+                part = np.where(ci[None, :] != qi[:, None], _products(q[:, s], c[:, s], _bound(q, c)), none)
+                most = min(k, len(ci))
+                top = np.argpartition(part, len(ci) - most, axis=1)[:, len(ci) - most :]
+                row = np.repeat(np.arange(len(qi)), most)
+                listed = top.ravel()
+                other = ci[listed] != qi[row]
+                row, listed = row[other], listed[other]
+                score = (q[row] * c[listed]).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), d.as_py())), pa.array(np.full(len(row), b.as_py())), pa.array(row), pa.array(score)], ["d", "b", "row", "score"])
 
     gathered = tiles(asked).mapInArrow(lists, "d long, b long, row long, score long")
     by = Window.partitionBy("d", "b", "row").orderBy(F.desc("score"))
     cutoffs = gathered.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k).groupBy("d", "b", "row").agg(F.min("score").alias("t"), F.count("*").alias("n"))
-    safe = cutoffs.select("d", "b", F.struct("row", F.when(F.col("n") == k, F.col("t")).otherwise(F.lit(-(2**63))).alias("t")).alias("x")).groupBy("d", "b").agg(F.array_sort(F.collect_list("x")).alias("cutoffs"))
+    safe = cutoffs.select("d", "b", F.struct("row", F.when(F.col("n") == k, F.col("t")).otherwise(F.lit(none)).alias("t")).alias("x")).groupBy("d", "b").agg(F.array_sort(F.collect_list("x")).alias("cutoffs"))
 
-    def sufficient(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batches:
             for ids, vs, qids, qvs, cuts, d, b in zip(*(r.column(x) for x in ("ids", "vs", "qids", "qvs", "cutoffs", "d", "b")), strict=True):
                 (ci, c), (qi, q) = _matrix(ids, vs), _matrix(qids, qvs)
-                t = np.full(len(qi), np.iinfo(np.int64).min)
+                t = np.full(len(qi), none)
                 for x in cuts.as_py() or []:
                     t[x["row"]] = x["t"]
-                shares = _slices(c.shape[1], slices)
                 bound = _bound(q, c)
-                parts = [_products(q[:, s], c[:, s], bound) for s in shares]
-                if bound >= 2**58:  # sums may wrap, so no share of a score says anything about the whole
-                    t[:] = np.iinfo(np.int64).min
-                out: list[tuple] = []
-                for i in range(len(qi)):
-                    reach = ci != qi[i]
-                    if t[i] > np.iinfo(np.int64).min:
-                        some = np.zeros(len(ci), dtype=bool)
-                        for p in parts:
-                            some |= p[i] * len(shares) >= t[i]
-                        reach &= some
-                    own = np.flatnonzero(reach)
-                    score = np.zeros(len(own), dtype=np.int64)
-                    for p in parts:
-                        score += p[i][own]
-                    own, score = own[score >= t[i]], score[score >= t[i]]
-                    best = _first(score, ci[own], k)
-                    out += [(d.as_py(), b.as_py(), i, int(qi[i]), int(ci[own[x]]), int(score[x])) for x in best]
-                cols = list(zip(*out, strict=True)) if out else [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in cols], ["d", "b", "row", "query_id", "vec_id", "score"])
-
-    meet = tiles(asked.join(safe, ["d", "b"], "left")).mapInArrow(sufficient, "d long, b long, row long, query_id long, vec_id long, score long")
+                if bound >= 2**58:  # sums may wrap, so no part of a score says anything about the whole
+                    i, j, score = (x.ravel() for x in (*np.indices((len(qi), len(ci))), _products(q, c, bound)))
+                else:
+                    i, j, score = sufficient(q, c, t, _slices(c.shape[1], slices), bound)
+                on = (ci[j] != qi[i]) & (score >= t[i])
+                i, j, score = i[on], j[on], score[on]
+                order = np.lexsort((ci[j], -score, i))
+                i, j, score = i[order], j[order], score[order]
+                first = np.searchsorted(i, i)
+                on = np.arange(len(i)) - first < k
+                i, j, score = i[on], j[on], score[on]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), d.as_py())), pa.array(np.full(len(i), b.as_py())), pa.array(i), pa.array(qi[i]), pa.array(ci[j]), pa.array(score)], ["d", "b", "row", "query_id", "vec_id", "score"])
+
+    found = tiles(asked.join(safe, ["d", "b"], "left")).mapInArrow(resolved, "d long, b long, row long, query_id long, vec_id long, score long")
     top = Window.partitionBy("d", "b", "row").orderBy(F.desc("score"), "vec_id")
-    return meet.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op1_query(spark, sf_dir):

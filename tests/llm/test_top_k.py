@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from quillspark.llm import top_k as K
@@ -56,3 +57,19 @@ def test_large_components_stay_exact(spark):
 @pytest.mark.parametrize("m", [1, 3, 9])
 def test_slices_cover(m):
     assert sum((list(range(5))[s] for s in K._slices(5, m)), []) == list(range(5))
+
+
+@pytest.mark.parametrize("spread", [0.05, 0.3, 3.0])
+def test_the_cutoff_leaves_work_out_but_no_candidate(spread):
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=(12, 32))
+    v = np.floor(256 * (middle[rng.integers(0, 12, 900)] + spread * rng.normal(size=(900, 32)))).astype(np.int64)
+    q, work = v[::50], []
+    whole = q @ v.T
+    t = np.sort(whole, axis=1)[:, -5]
+    i, j, score = K.sufficient(q, v, t, K._slices(32, 4), K._bound(q, v), work)
+    assert (whole[i, j] == score).all()
+    got, want = set(zip(i.tolist(), j.tolist())), set(zip(*(x.tolist() for x in np.nonzero(whole >= t[:, None]))))
+    assert want <= got and sum(work) <= whole.size * 32
+    if spread < 1:
+        assert sum(work) < 0.7 * whole.size * 32
