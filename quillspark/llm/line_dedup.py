@@ -17,8 +17,8 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(BLANKS)), _UPPER, _UPPER.lower())
 
 
-def drop_common_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(id, n_lines, n_dropped, kept_text), a row for each row of ``docs``.
+def drop_common_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_lines, n_dropped, kept_text), a row for each row of ``docs``; with ``carry`` also a struct of those columns, ``carried``.
 
     A key of at least ``min_chars`` code points found in at least ``min_docs`` documents loses its lines
     everywhere but in the largest id that holds it; there all of them stay.
@@ -33,7 +33,7 @@ def drop_common_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     are broadcast; the lines of all other keys meet theirs in a shuffle. Texts move once, to
     meet the positions that they lose.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"), *([F.struct(*carry).alias("carried")] if carry else []))
     rows = rows.withColumn("print", F.xxhash64("body"))
     lines = cut(
         rows.select("id", "print", F.posexplode(F.split("body", "\n", -1)).alias("pos", "line"))
@@ -49,7 +49,7 @@ def drop_common_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     kept = F.when(F.col("lost").isNull(), F.col("body")).otherwise(F.array_join(F.filter(split, lambda _, i: ~F.array_contains("lost", i)), "\n"))
     # Every \n counts one line more; counting them needs no second split.
     n_lines = F.length("body") - F.length(F.replace("body", F.lit("\n"), F.lit(""))) + 1
-    return both.select("id", n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept_text"))
+    return both.select("id", n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept_text"), *(["carried"] if carry else []))
 
 
 def op7_query(spark, sf_dir):
