@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last return the
 columns of ``documents``, whatever others come along. A row without a doc_id can't be followed through the stages and
-leaves at the first; null texts count as empty.
+leaves at the first; null texts count as empty and are empty from the second stage on. Rows that repeat an id are rows
+of their own until near copies go; empty tables give no rows; texts are taken whole, however long.
 """
 
 from __future__ import annotations
@@ -28,9 +29,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that many of them share; n_chars is counted again."""
-    others = docs.select(F.col("doc_id").alias("own_id"), "lang", "source")
-    cleaned = drop_common_lines(docs.select("doc_id", "text")).select(F.col("id").alias("doc_id"), F.col("kept_text").alias("text"))
-    return cleaned.join(others.dropDuplicates(["own_id"]), F.col("doc_id") == F.col("own_id")).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    cleaned = drop_common_lines(docs, carry=("lang", "source")).where("id is not null")
+    return cleaned.select(F.col("id").alias("doc_id"), F.col("kept_text").alias("text"), "carried.lang", "carried.source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
