@@ -18,6 +18,8 @@ CACHE_WORDS = 1_000_000
 SLICE_CHARS = 8_000_000
 #: Rows that it encodes at a time.
 SLICE_ROWS = 2_500
+#: Words that one run of the recursive query encodes.
+QUERY_WORDS = 200_000
 
 # Rows: token t at position p of word w. Each round pairs every token with the next, looks the pairs up in the merge table
 # and contracts pairs that have the word's least rank. A word without pairs is done; its tokens are decoded in order.
@@ -120,11 +122,11 @@ class Coder:
         short += [x for x, r in zip(long, raw, strict=True) if len(r) <= LONG]
         long = [x for x, r in zip(long, raw, strict=True) if len(r) > LONG]
         for query, own in ((ENCODE, short), (ENCODE_LONG, long)):
-            for at in range(0, len(own), 200_000):
-                part = own[at : at + 200_000]
+            for at in range(0, len(own), QUERY_WORDS):
+                part = own[at : at + QUERY_WORDS]
                 raw = [x.encode() for x in part]
-                for x, own, (ids, decoded) in zip(part, raw, self._encode(raw, query), strict=True):
-                    if decoded != own:
+                for x, given, (ids, decoded) in zip(part, raw, self._encode(raw, query), strict=True):
+                    if decoded != given:
                         raise ValueError(f"{x!r} decodes to {decoded!r}; the vocabulary isn't whole")
                     self.ids[x] = ids
 

@@ -68,3 +68,9 @@ def test_empty_table(spark, documents):
 def test_decoding_reads_the_ids(both):
     ids, _ = both[0].run(["first text", "", "second"])
     assert both[0].decode(ids[::-1]) == [b"second", b"", b"first text"]
+
+
+def test_more_words_than_one_query_takes(both, monkeypatch):
+    monkeypatch.setattr(B, "QUERY_WORDS", 7)
+    fresh = B.Coder(both[0].ranks, B.merge_table(both[0].ranks), P.PATTERN)
+    check((fresh, both[1]), [" ".join(f"word{i}x{i * 7919}" for i in range(60)), " ".join("y" * (50 + i) for i in range(20))])
