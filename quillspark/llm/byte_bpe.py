@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm._common import load
+from quillspark.llm._common import lean, load
 
 #: Distinct words that a Python worker keeps encoded; beyond, it starts anew.
 CACHE_WORDS = 1_000_000
@@ -19,7 +19,7 @@ SLICE_CHARS = 8_000_000
 #: Rows that it encodes at a time.
 SLICE_ROWS = 2_500
 #: Words that one run of the recursive query encodes.
-QUERY_WORDS = 200_000
+QUERY_WORDS = 100_000
 
 # Rows: token t at position p of word w. Each round pairs every token with the next, looks the pairs up in the merge table
 # and contracts pairs that have the word's least rank. A word without pairs is done; its tokens are decoded in order.
@@ -205,6 +205,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, *, id_col: str = "doc_
             for at in range(0, b.num_rows, SLICE_ROWS):
                 part = b.slice(at, SLICE_ROWS)
                 ids, decoded = coder.run([x or "" for x in part.column(part.num_columns - 1).to_pylist()])
+                lean(end=True)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], [*names, "n_tokens", "ids", "decoded"])
 
     schema = ", ".join(f"{n} {t}" for n, t in zip(names, kept, strict=True))
