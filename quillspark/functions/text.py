@@ -110,7 +110,7 @@ def array_edit_distance(a: Column, b: Column) -> Column:
 def array_distance(a: Column, b: Column) -> Column:
     """Array edits over the longer size; 0 for two empty arrays."""
     longest = F.greatest(F.size(a), F.size(b))
-    return F.when(longest == 0, F.lit(0.0)).otherwise(array_edit_distance(a, b) / longest)
+    return F.when((longest == 0) | (a == b), F.lit(0.0)).otherwise(array_edit_distance(a, b) / longest)
 
 
 def multiset_overlap(a: Column, b: Column) -> Column:

@@ -39,13 +39,15 @@ def score(docs: DataFrame, counts: DataFrame, order: int, *, alpha: float = 0.1,
     """(id, tokens, unknown, total, average): the highest order whose context was seen, minus ``step`` a step down.
 
     add-alpha over the vocabulary and one unknown word; the end counts as a token in the average. Contexts and grams
-    meet the model in equi-joins, one for each order, so the model may be any size.
+    meet the model in equi-joins, two for each order above the first, so the model may be any size; the first order has
+    one context, whose total is a number, and one join by word.
     """
-    vocabulary = counts.where("n = 1").select("target").distinct()
-    v = vocabulary.count() + 1
-    at = positions(docs, order, tokens=tokens).join(vocabulary.withColumn("known", F.lit(1)), "target", "left")
-    totals = context_totals(counts)
-    for n in range(order, 0, -1):
+    single = counts.where("n = 1").select("target", F.col("c").alias("c1"))
+    whole = single.agg(F.count("*").alias("v"), F.coalesce(F.sum("c1"), F.lit(0)).alias("t")).first()
+    v = whole.v + 1
+    at = positions(docs, order, tokens=tokens).join(single, "target", "left").withColumns({"known": F.col("c1"), "t1": F.lit(whole.t)})
+    totals = context_totals(counts.where("n > 1"))
+    for n in range(order, 1, -1):
         at = at.withColumn(f"x{n}", _suffix(n, order))
         at = at.join(totals.where(F.col("n") == n).select(F.col("context").alias(f"x{n}"), F.col("total").alias(f"t{n}")), f"x{n}", "left")
         at = at.join(counts.where(F.col("n") == n).select(F.col("context").alias(f"x{n}"), "target", F.col("c").alias(f"c{n}")), [f"x{n}", "target"], "left")
