@@ -17,7 +17,7 @@ CACHE_WORDS = 1_000_000
 #: Characters of text that a task splits at a time; a longer document goes alone.
 SLICE_CHARS = 8_000_000
 #: Rows that it encodes at a time.
-SLICE_ROWS = 2_500
+SLICE_ROWS = 1_800
 #: Words that one run of the recursive query encodes.
 QUERY_WORDS = 100_000
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import _text as T
-from quillspark.llm._common import cut, load, remove
+from quillspark.llm._common import cut, lean, load, remove
 from quillspark.llm._components import components
 
 SHINGLE = 5
@@ -126,6 +126,7 @@ def _signature_rows(bands: int, rows: int, k: int):
         for b in batches:
             keys, offsets = band_keys(b.column(3), bands, rows, k)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64)))], ["id", "t1", "t2", "keys"])
+        lean(end=True)
 
     return run
 
@@ -135,6 +136,7 @@ def _element_rows(k: int):
         for b in batches:
             e = elements(b.column(1), k)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 8 for x in e], pa.int64()), pa.array(e, pa.binary())], ["id", "size", "e"])
+        lean(end=True)
 
     return run
 
@@ -150,6 +152,7 @@ def _verified(similarity: float):
                 o = overlap(x, y)
                 keep[i] = o >= similarity * (len(x) + len(y) - o) - 1e-9
             yield b.select([0, 1]).filter(pa.array(keep))
+        lean(end=True)
 
     return run
 
@@ -227,6 +230,8 @@ def _block_links(similarity: float):
                 held.append((own, comp, side, e))
         if held:
             yield done()
+        held = []
+        lean(end=True)
 
     return run
 
