@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import canonical as J
 from quillspark.functions.text import phrase_similarity
 
 #: A catalogue of at most this many entries is broadcast; a larger one is dealt into blocks of about so many.
@@ -39,3 +40,30 @@ def select(queries: DataFrame, entries: DataFrame, *, limit: int = 10, minimum:
     best = scored.groupBy("query_id", "entry_id", "phrase", "priority").agg(F.max(F.struct("score", (~F.col("phonetic")).alias("p"), "surface")).alias("b"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("b.score"), F.desc("priority"), "entry_id"))
     return best.withColumn("position", rank).where(F.col("position") <= limit).select("query_id", "entry_id", "phrase", F.col("b.score").alias("score"), F.col("b.surface").alias("surface"), "position")
+
+
+def prompt_context(rows: DataFrame, sections: dict[str, Column], *, most: int = 12_000, revision: str = "document-context-v2") -> DataFrame:
+    """Adds ``prompt``: the context of a document as canonical JSON of at most ``most`` characters.
+
+    ``sections``: JSON of each, in order; null leaves a section out. What is longer becomes its longest beginning that fits
+    together with the digest of the whole, or, where not even that digest fits, the beginning of the record that holds it.
+    """
+    if most < 0:
+        raise ValueError("the limit isn't negative")
+    label = J.quoted(F.lit(revision))
+    kept = F.array_compact(F.array(*[F.when(v.isNotNull(), J.array(F.array(J.quoted(F.lit(k)), v))) for k, v in sections.items()]))
+    whole = rows.withColumn("_whole", J.record({"format": label, "sections": J.array(kept)}))
+    seal = F.when(F.length("_whole") > most, J.digest(J.record({"fullContext": J.quoted(F.col("_whole"))})))
+    sealed = whole.withColumn("_seal", seal)
+    ends = {"format": label, "fullContextSha256": J.quoted(F.col("_seal")), "truncated": F.lit("true")}
+    sealed = sealed.withColumn("_bare", J.record(ends)).withColumn("_room", F.lit(most) - F.length(J.record({**ends, "contextPrefix": F.lit('""')})))
+
+    def grow(a: Column, c: Column) -> Column:
+        used = a["used"] + J.width(c)
+        return F.struct(used.alias("used"), (a["n"] + (used <= F.col("_room")).cast("int")).alias("n"))
+
+    fits = F.aggregate(F.split(F.substring("_whole", 1, most), ""), F.struct(F.lit(0).alias("used"), F.lit(0).alias("n")), grow)["n"]
+    sealed = sealed.withColumn("_fits", F.when(F.col("_seal").isNotNull() & (F.col("_room") >= 0), fits))
+    short = J.record({**ends, "contextPrefix": J.quoted(F.substring(F.col("_whole"), F.lit(1), F.col("_fits")))})
+    made = F.when(F.col("_seal").isNull(), F.col("_whole")).when(F.length("_bare") >= most, F.substring("_bare", 1, most)).when(F.col("_room") < 0, F.col("_bare")).otherwise(short)
+    return sealed.withColumn("prompt", made if most else F.lit("")).drop("_whole", "_seal", "_bare", "_room", "_fits")

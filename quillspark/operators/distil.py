@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import canonical as J
 from quillspark.functions import scores as S
 from quillspark.operators.enrich import capped_shares
 
@@ -67,3 +68,16 @@ def pairwise_alignment(rows: DataFrame, *, beta: float = 1.0, margin: float = 0.
     chosen = mean("chosen_logprob", "chosen_length") - F.coalesce(mean("reference_chosen_logprob", "chosen_length"), F.lit(0.0))
     rejected = mean("rejected_logprob", "rejected_length") - F.coalesce(mean("reference_rejected_logprob", "rejected_length"), F.lit(0.0))
     return rows.withColumn("loss", softplus(-(beta * (chosen - rejected) - margin)) + absolute * softplus(-beta * chosen))
+
+
+def candidate_digests(candidates: DataFrame) -> DataFrame:
+    """(group_id, digest) of (group_id, candidate_id, text, token_ids, source): one digest a set, whatever its rows' order.
+
+    A set of fewer than two candidates, and one that repeats an id, raises.
+    """
+    one = J.record({"candidateId": J.quoted(F.col("candidate_id")), "text": J.quoted(F.col("text")), "source": J.quoted(F.col("source")), "tokenIds": J.array(F.coalesce(F.col("token_ids").cast("array<string>"), F.array().cast("array<string>")))})
+    sets = candidates.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("candidate_id", one.alias("json")))).alias("all"))
+    ids = F.transform("all", lambda x: x["candidate_id"])
+    problem = F.when(F.size("all") < 2, F.lit("fewer than two candidates in ")).when(F.size(F.array_distinct(ids)) < F.size("all"), F.lit("repeated candidate ids in "))
+    whole = J.digest(J.array(F.transform("all", lambda x: x["json"])))
+    return sets.select("group_id", F.when(problem.isNotNull(), F.raise_error(F.concat(problem, F.col("group_id").cast("string"))).cast("string")).otherwise(whole).alias("digest"))

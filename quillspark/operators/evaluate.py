@@ -154,6 +154,21 @@ def pareto_sorted(points: DataFrame, *, cost: str, quality: str, group: str) ->
     return points.join(best, [group, cost]).where(F.col(quality) == F.col("_best")).drop("_best", "_cheaper")
 
 
+def boundary_diagnostics(rows: DataFrame) -> DataFrame:
+    """By system: error rate of the best windows, edits that strict rates count beyond it, rows and characters that overrun.
+
+    ``rows``: (system, reference_characters, strict_rate, edits, prefix, suffix); the last three are null where a row wasn't aligned.
+    """
+    aligned = F.col("edits").isNotNull()
+    strict = F.rint(F.coalesce(F.sum(F.when(F.col("reference_characters") > 0, F.col("strict_rate") * F.col("reference_characters"))), F.lit(0.0))).cast("long")
+    total = lambda c: F.coalesce(F.sum(F.when(aligned, F.col(c))), F.lit(0)).cast("long")
+    return rows.groupBy("system").agg(
+        F.try_divide(total("edits"), F.nullif(total("reference_characters"), F.lit(0))).alias("aligned_rate"), F.greatest(F.lit(0).cast("long"), strict - total("edits")).alias("edit_reduction"),
+        F.count_if(aligned & ((F.col("prefix") > 0) | (F.col("suffix") > 0))).alias("overrun_rows"), F.count_if(aligned & (F.col("prefix") > 0)).alias("prefix_rows"), total("prefix").alias("prefix_characters"),
+        F.count_if(aligned & (F.col("suffix") > 0)).alias("suffix_rows"), total("suffix").alias("suffix_characters"),
+    )
+
+
 def paired_cohort(results: DataFrame, baseline: str, candidate: str) -> DataFrame:
     """(sample_id, group_id, baseline, candidate) of two systems; a sample that one of them lacks raises."""
     a = results.where(F.col("system") == baseline).select("sample_id", F.col("group_id").alias("g1"), F.col("value").alias("baseline"))
@@ -167,11 +182,12 @@ def group_totals(rows: DataFrame) -> DataFrame:
     return rows.groupBy("group_id").agg(*[F.sum(c).alias(c) for c in ("reference_units", "baseline_errors", "candidate_errors")])
 
 
-def paired_bootstrap(rows: DataFrame, *, iterations: int = 2000, confidence: float = 0.95, seed: int = 17) -> DataFrame:
+def paired_bootstrap(rows: DataFrame, *, iterations: int = 2000, confidence: float = 0.95, seed: int = 17, most_groups: int = 1_000_000) -> DataFrame:
     """One row: corpus delta of error rates, its interval over resampled groups, share of resamples that are better.
 
     Groups are resampled with the Mersenne twister in order of group_id, as the published protocol does, so the
-    group totals (one row a group, added up by Spark) meet in one task.
+    group totals (one row a group, added up by Spark) meet in one task. Beyond ``most_groups`` groups it raises:
+    ``poisson_bootstrap`` keeps groups where they are.
     """
     totals = group_totals(rows).select(F.col("group_id").cast("string"), *[F.col(c).cast("long") for c in ("reference_units", "baseline_errors", "candidate_errors")])
 
@@ -180,7 +196,13 @@ def paired_bootstrap(rows: DataFrame, *, iterations: int = 2000, confidence: flo
 
         import pandas as pd
 
-        data = pd.concat(list(batches)).sort_values("group_id")
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n > most_groups:
+                raise ValueError(f"over {most_groups} groups: resample with poisson_bootstrap")
+        data = pd.concat(held).sort_values("group_id")
         units, left, right = (data[c].tolist() for c in ("reference_units", "baseline_errors", "candidate_errors"))
         rng, n, deltas = random.Random(seed), len(units), []
         for _ in range(iterations):

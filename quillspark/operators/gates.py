@@ -108,13 +108,21 @@ def default_policies(spark, counts: tuple[int, ...] = (1, 3, 5, 8, 16)) -> DataF
     return spark.createDataFrame(rows, "policy_id string, candidate_count int, maximum_cost double, fallback boolean")
 
 
+#: A table of policies is written by hand; one beyond this size is refused.
+MAX_POLICIES = 1_000
+
+
 def select_policy(policies: DataFrame, states: DataFrame) -> DataFrame:
     """(state_id, policy_id, eligible): the cheapest passing policy that a state admits, else the fallback.
 
-    ``policies``: (policy_id, candidate_count, passed, fallback, mean_cost, upper, maximum_cost), broadcast by its size;
-    ``states``: (state_id, available, budget).
+    ``policies``: (policy_id, candidate_count, passed, fallback, mean_cost, upper, maximum_cost), at most ``MAX_POLICIES``
+    rows, which become one ordered array that each state filters; ``states``: (state_id, available, budget). A state that
+    neither a policy nor a fallback fits has no row.
     """
-    fits = F.col("passed") & (F.col("available") >= F.col("candidate_count")) & (F.col("maximum_cost") <= F.col("budget")) & (F.col("mean_cost") <= F.col("budget"))
-    both = states.crossJoin(policies).where(F.col("fallback") | fits).withColumn("eligible", fits)
-    order = Window.partitionBy("state_id").orderBy(F.desc("eligible"), "mean_cost", "candidate_count", "upper", "policy_id")
-    return both.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("state_id", "policy_id", "eligible")
+    if policies.limit(MAX_POLICIES + 1).count() > MAX_POLICIES:
+        raise ValueError(f"over {MAX_POLICIES} policies")
+    ordered = policies.agg(F.array_sort(F.collect_list(F.struct("mean_cost", "candidate_count", "upper", "policy_id", "passed", "fallback", "maximum_cost"))).alias("_all"))
+    fits = lambda p: F.coalesce(p["passed"] & (F.col("available") >= p["candidate_count"]) & (p["maximum_cost"] <= F.col("budget")) & (p["mean_cost"] <= F.col("budget")), F.lit(False))
+    first = lambda test: F.get(F.filter("_all", test), F.lit(0))["policy_id"]
+    both = states.crossJoin(F.broadcast(ordered)).select("state_id", first(fits).alias("_fit"), first(lambda p: p["fallback"]).alias("_else"))
+    return both.select("state_id", F.coalesce("_fit", "_else").alias("policy_id"), F.col("_fit").isNotNull().alias("eligible")).where("policy_id is not null")

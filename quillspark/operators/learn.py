@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -84,24 +86,41 @@ def platt(rows: DataFrame, *, l2: float = 1e-3, rounds: int = 50, tolerance: flo
     return a, b
 
 
+def _pool(blocks: list[list[float]], x: float, w: float, y: float) -> None:
+    """Add a block at the end and pool it with those before whose mean isn't below its own."""
+    blocks.append([x, w, y])
+    while len(blocks) > 1 and blocks[-2][2] * blocks[-1][1] >= blocks[-1][2] * blocks[-2][1]:
+        x, w, y = blocks.pop()
+        blocks[-1] = [x, blocks[-1][1] + w, blocks[-1][2] + y]
+
+
 def isotonic(rows: DataFrame) -> list[tuple[float, float]]:
     """(upper threshold, probability) blocks by pooling adjacent violators; prediction is a step function.
 
-    Equal scores are added up by Spark first; the driver pools the distinct ones.
+    Equal scores are added up by Spark and pooled within range partitions; the driver pools the blocks that are left.
     """
-    per = rows.groupBy(F.col("score").cast("double").alias("x")).agg(F.sum(F.coalesce("weight", F.lit(1.0)) if "weight" in rows.columns else F.lit(1.0)).alias("w"), F.sum((F.coalesce("weight", F.lit(1.0)) if "weight" in rows.columns else F.lit(1.0)) * F.col("correct").cast("double")).alias("y"))
+    weight = F.coalesce("weight", F.lit(1.0)) if "weight" in rows.columns else F.lit(1.0)
+    per = rows.groupBy(F.col("score").cast("double").alias("x")).agg(F.sum(weight).cast("double").alias("w"), F.sum(weight * F.col("correct").cast("double")).alias("y"))
+
+    def pool(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        blocks: list[list[float]] = []
+        for batch in batches:
+            for x, w, y in batch.itertuples(index=False):
+                _pool(blocks, x, w, y)
+        yield pd.DataFrame(blocks, columns=["x", "w", "y"], dtype="float64")
+
     blocks: list[list[float]] = []
-    for r in per.orderBy("x").toLocalIterator():
-        blocks.append([r.x, r.w, r.y])
-        while len(blocks) > 1 and blocks[-2][2] * blocks[-1][1] >= blocks[-1][2] * blocks[-2][1]:
-            x, w, y = blocks.pop()
-            blocks[-1] = [x, blocks[-1][1] + w, blocks[-1][2] + y]
+    parts = per.where("x is not null").repartitionByRange("x").sortWithinPartitions("x").mapInPandas(pool, "x double, w double, y double")
+    for r in sorted(parts.collect()):
+        _pool(blocks, r.x, r.w, r.y)
     return [(x, y / w) for x, w, y in blocks]
 
 
 def isotonic_column(score: Column, blocks: list[tuple[float, float]]) -> Column:
-    """The first block whose threshold reaches the score, else the last."""
-    table = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(p).alias("p")) for x, p in blocks])
+    """The first block whose threshold reaches the score, else the last; the blocks are one literal of the plan."""
+    table = F.from_json(F.lit(json.dumps([{"x": x, "p": p} for x, p in blocks])), "array<struct<x: double, p: double>>")
     return F.coalesce(F.get(F.filter(table, lambda b: b["x"] >= score), F.lit(0))["p"], F.lit(blocks[-1][1]))
 
 

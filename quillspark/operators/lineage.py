@@ -43,11 +43,11 @@ def missing_parents(records: DataFrame) -> DataFrame:
     return edges.join(records.select(F.col("sample_id").alias("parent_id")), "parent_id", "left_anti").select("sample_id", "parent_id")
 
 
-def cyclic_samples(records: DataFrame, *, max_rounds: int = 64) -> DataFrame:
+def cyclic_samples(records: DataFrame, *, max_rounds: int = 10_000) -> DataFrame:
     """Samples on a cycle of the parent graph: those that reach themselves.
 
     First everything without a parent or without a child is peeled off, round by round; what is left lies on cycles or
-    on paths between them, and its reachability is squared until it stops growing.
+    on paths between them, and its reachability is squared until it stops growing. A graph that ``max_rounds`` rounds don't settle raises.
     """
     from quillspark.sources.sinks import settle
 
@@ -60,6 +60,8 @@ def cyclic_samples(records: DataFrame, *, max_rounds: int = 64) -> DataFrame:
         if left == n or not left:
             break
         n = left
+    else:
+        raise RuntimeError(f"parents not peeled off after {max_rounds} rounds")
     reach, m = edges, n
     for _ in range(max_rounds):
         if not m:
@@ -70,6 +72,8 @@ def cyclic_samples(records: DataFrame, *, max_rounds: int = 64) -> DataFrame:
         if grown == m:
             break
         m = grown
+    else:
+        raise RuntimeError(f"reachability still grows after {max_rounds} rounds")
     return reach.where("a = b").select(F.col("a").alias("sample_id")).distinct()
 
 

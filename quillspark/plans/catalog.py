@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.plans import audit_queries, case_queries, contract_queries, decision_queries, gate_queries, kernel_queries, measure_queries
+from quillspark.plans import audit_queries, case_queries, contract_queries, decision_queries, gate_queries, kernel_queries, measure_queries, meeting_queries
 
-_PARTS = (decision_queries, audit_queries, measure_queries, gate_queries, kernel_queries, case_queries, contract_queries)
+_PARTS = (decision_queries, audit_queries, measure_queries, gate_queries, kernel_queries, case_queries, contract_queries, meeting_queries)
 
 
 def flagship(spark, sf_dir):
