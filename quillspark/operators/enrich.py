@@ -96,10 +96,11 @@ def log_opinion_pool(stages: DataFrame) -> DataFrame:
     return total.withColumn("_e", S.softmax_weight(F.col("_s"), 1.0, w)).select("group_id", "candidate_id", (F.col("_e") / F.sum("_e").over(w)).alias("p"))
 
 
-def capped_shares(rows: DataFrame, *, maximum: float = 0.6, rounds: int = 32) -> DataFrame:
+def capped_shares(rows: DataFrame, *, maximum: float = 0.6) -> DataFrame:
     """Shares of ``weight`` within a group, none above ``maximum`` while others can take the excess.
 
-    A group's shares are an array that a fold caps and rescales until nothing changes.
+    A group's shares are an array that a fold caps and rescales. Each round caps one more share or changes nothing, so there
+    are as many rounds as shares.
     """
     xs = F.array_sort(F.collect_list(F.struct("teacher", "weight")))
 
@@ -111,7 +112,7 @@ def capped_shares(rows: DataFrame, *, maximum: float = 0.6, rounds: int = 32) ->
 
     total = F.aggregate("xs", F.lit(0.0), lambda s, x: s + x["weight"])
     shares = F.transform("xs", lambda x: F.struct(x["teacher"].alias("teacher"), (x["weight"] / total).alias("p")))
-    out = rows.groupBy("group_id").agg(xs.alias("xs")).select("group_id", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), shares, once).alias("out"))
+    out = rows.groupBy("group_id").agg(xs.alias("xs")).select("group_id", F.aggregate(F.sequence(F.lit(1), F.size("xs")), shares, once).alias("out"))
     return out.select("group_id", F.explode("out").alias("x")).select("group_id", "x.teacher", F.col("x.p").alias("share"))
 
 
