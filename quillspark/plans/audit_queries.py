@@ -83,7 +83,7 @@ def interval_overlap_join(spark, sf):
 
 
 def coverage_attribution(spark, sf):
-    out = intervals.coverage_attribution(_spans(spark, sf).where("end > start"), "key")
+    out = intervals.coverage_attribution(_spans(spark, sf), "key")
     return out.select("key", "id", F.round("attributed", 4).alias("attributed"))
 
 
