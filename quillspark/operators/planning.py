@@ -67,7 +67,7 @@ def routed(actions: DataFrame, state: DataFrame | None = None, *, budget_ms: int
     the rest is scored anew, since each action that an island got takes ROUTER["duplicate"] from its others.
 
     Tried actions that score too low, crowd their island or break the budget are passed over. What is left when ``most``
-    are selected follows by score. ``actions``: (group_id, action_id, kind, island, utility, criticality, cost_ms).
+    are selected follows by score. An id that repeats in a group is tried once, by its best row. ``actions``: (group_id, action_id, kind, island, utility, criticality, cost_ms).
     """
 
     def run(key, rows: list[dict]):
@@ -76,7 +76,7 @@ def routed(actions: DataFrame, state: DataFrame | None = None, *, budget_ms: int
         order = lambda a: (-score(a), -a["criticality"], a["cost_ms"], a["action_id"])
         while left and taken < most:
             a = min(left, key=order)
-            left = [x for x in left if x is not a]
+            left = [x for x in left if x["action_id"] != a["action_id"]]
             s = score(a)
             fits = s >= ROUTER["minimum"] and islands.get(a["island"], 0) < ROUTER["per_island"] and used + a["cost_ms"] <= budget_ms
             if fits:
@@ -84,7 +84,10 @@ def routed(actions: DataFrame, state: DataFrame | None = None, *, budget_ms: int
                 islands[a["island"]] = islands.get(a["island"], 0) + 1
             yield key, a["action_id"], fits, used, step, s
             step += 1
+        rest = {}
         for a in sorted(left, key=order):
+            rest.setdefault(a["action_id"], a)
+        for a in rest.values():
             yield key, a["action_id"], False, used, step, score(a)
             step += 1
 
