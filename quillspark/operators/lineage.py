@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Lineage columns and the kind of leak that a value in two splits is.
 DIMENSIONS = {
@@ -43,17 +48,72 @@ def missing_parents(records: DataFrame) -> DataFrame:
     return edges.join(records.select(F.col("sample_id").alias("parent_id")), "parent_id", "left_anti").select("sample_id", "parent_id")
 
 
-def cyclic_samples(records: DataFrame, *, max_rounds: int = 10_000) -> DataFrame:
+def _on_cycles(edges: pa.Table) -> pa.Array:
+    """Nodes of (a, b) on a cycle: those of strong components with several nodes, and those with an edge to themselves."""
+    both = pa.chunked_array([*edges.column("a").chunks, *edges.column("b").chunks], edges.schema.field("a").type).combine_chunks().dictionary_encode()
+    a, b = np.split(both.indices.to_numpy(), 2)
+    n, order = len(both.dictionary), np.argsort(a, kind="stable")
+    first, to = np.searchsorted(a[order], np.arange(n + 1)).tolist(), b[order].tolist()
+    cyclic = np.zeros(n, dtype=bool)
+    cyclic[a[a == b]] = True
+    # Tarjan's components with a stack of its own; a settled node's low mark is n.
+    seen, low, stack, clock = [-1] * n, [n] * n, [], 0
+    at = first[:-1]
+    for root in range(n):
+        if seen[root] >= 0:
+            continue
+        path = [root]
+        while path:
+            v = path[-1]
+            if seen[v] < 0:
+                seen[v] = low[v] = clock
+                clock += 1
+                stack.append(v)
+            if at[v] < first[v + 1]:
+                w = to[at[v]]
+                at[v] += 1
+                if seen[w] < 0:
+                    path.append(w)
+                else:
+                    low[v] = min(low[v], low[w])
+                continue
+            path.pop()
+            if path:
+                low[path[-1]] = min(low[path[-1]], low[v])
+            if low[v] == seen[v]:
+                size = len(stack)
+                while True:
+                    w = stack.pop()
+                    low[w] = n
+                    if w == v:
+                        break
+                    cyclic[w] = True
+                if size - len(stack) > 1:
+                    cyclic[v] = True
+    return both.dictionary.filter(pa.array(cyclic))
+
+
+def cyclic_samples(records: DataFrame, *, max_rounds: int | None = None, task_edges: int = 1_000_000) -> DataFrame:
     """Samples on a cycle of the parent graph: those that reach themselves.
 
-    First everything without a parent or without a child is peeled off, round by round; what is left lies on cycles or
-    on paths between them, and its reachability is squared until it stops growing. A graph that ``max_rounds`` rounds don't settle raises.
+    A graph of up to ``task_edges`` edges is settled in one task, in time linear in its edges. Of a larger one everything without
+    a parent or without a child is peeled off, round by round, until so few edges are left; where that stops earlier, what is
+    left lies on cycles or on paths between them, and its reachability is squared until it stops growing. A graph that
+    10,000 rounds don't settle raises. With ``max_rounds`` every graph is settled in rounds, at most so many.
     """
     from quillspark.sources.sinks import settle
 
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = list(batches)
+        if sum(len(b) for b in own):
+            yield pa.RecordBatch.from_arrays([_on_cycles(pa.Table.from_batches(own))], ["sample_id"])
+
+    in_task = lambda e: e.repartition(1).mapInArrow(small, StructType([StructField("sample_id", e.schema["a"].dataType)]))
     edges = settle(records.select(F.col("sample_id").alias("a"), F.explode("parent_sample_ids").alias("b")).join(records.select(F.col("sample_id").alias("b")), "b", "left_semi").select("a", "b").distinct())
-    n = edges.count()
-    for _ in range(max_rounds):
+    n, rounds = edges.count(), max_rounds or 10_000
+    for _ in range(rounds):
+        if max_rounds is None and n <= task_edges:
+            return in_task(edges)
         heads, tails = edges.select("b").distinct(), edges.select("a").distinct()
         edges = settle(edges.join(heads.withColumnRenamed("b", "a"), "a", "left_semi").join(tails.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b"))
         left = edges.count()
@@ -61,9 +121,9 @@ def cyclic_samples(records: DataFrame, *, max_rounds: int = 10_000) -> DataFrame
             break
         n = left
     else:
-        raise RuntimeError(f"parents not peeled off after {max_rounds} rounds")
+        raise RuntimeError(f"parents not peeled off after {rounds} rounds")
     reach, m = edges, n
-    for _ in range(max_rounds):
+    for _ in range(rounds):
         if not m:
             break
         longer = reach.alias("x").join(reach.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a"), F.col("y.b"))
@@ -73,7 +133,7 @@ def cyclic_samples(records: DataFrame, *, max_rounds: int = 10_000) -> DataFrame
             break
         m = grown
     else:
-        raise RuntimeError(f"reachability still grows after {max_rounds} rounds")
+        raise RuntimeError(f"reachability still grows after {rounds} rounds")
     return reach.where("a = b").select(F.col("a").alias("sample_id")).distinct()
 
 
