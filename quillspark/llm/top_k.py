@@ -140,7 +140,8 @@ def search(table: DataFrame, queries: DataFrame, *, k: int = K, slices: int = SL
     packed = cut(_packed(table.select(F.size("v").cast("long").alias("d"), deal(table, chunks).alias("c"), "id", "v"), ["d", "c"]))
     asked = cut(_packed(queries.select(F.size("v").cast("long").alias("d"), deal(queries, blocks).alias("b"), "id", "v"), ["d", "b"]))
     every = lambda f, name, m: f.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
-    tiles = lambda q: every(packed, "b", blocks).join(every(q.withColumnsRenamed({"ids": "qids", "vs": "qvs"}), "c", chunks), ["d", "c", "b"])
+    # Each side is repeated for the other's parts, which Spark's size estimates miss: never through the driver as a broadcast.
+    tiles = lambda q: every(packed, "b", blocks).hint("merge").join(every(q.withColumnsRenamed({"ids": "qids", "vs": "qvs"}), "c", chunks).hint("merge"), ["d", "c", "b"])
     none = np.iinfo(np.int64).min
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +186,7 @@ def search(table: DataFrame, queries: DataFrame, *, k: int = K, slices: int = SL
                 i, j, score = i[on], j[on], score[on]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), d.as_py())), pa.array(np.full(len(i), b.as_py())), pa.array(i), pa.array(qi[i]), pa.array(ci[j]), pa.array(score)], ["d", "b", "row", "query_id", "vec_id", "score"])
 
-    found = tiles(asked.join(safe, ["d", "b"], "left")).mapInArrow(resolved, "d long, b long, row long, query_id long, vec_id long, score long")
+    found = tiles(asked.join(safe.hint("merge"), ["d", "b"], "left")).mapInArrow(resolved, "d long, b long, row long, query_id long, vec_id long, score long")
     top = Window.partitionBy("d", "b", "row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -73,3 +73,12 @@ def test_the_cutoff_leaves_work_out_but_no_candidate(spread):
     assert want <= got and sum(work) <= whole.size * 32
     if spread < 1:
         assert sum(work) < 0.7 * whole.size * 32
+
+
+def test_tiles_do_not_pass_the_driver(spark, write, monkeypatch):
+    """Tables whose packed parts look small enough to broadcast, whatever their copies for all tiles take."""
+    monkeypatch.setattr(K, "CHUNK", 10)
+    rows = [(i, [float(i % 7), float(i % 11)]) for i in range(0, 200, 5)]
+    found = K.op1_query(spark, write(embeddings=table(spark, rows)))
+    assert sorted(map(tuple, found.collect())) == brute(rows)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
