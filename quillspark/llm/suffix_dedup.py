@@ -8,8 +8,8 @@ the left and to the right. They are then sorted by the words to the left, with t
 
 Neighbours alone don't settle everything: a suffix may share more on the left with one that isn't next to it on the right.
 But a neighbour on the right shares the most on the right, and one on the left the most on the left, which bounds what
-any other suffix could still add. Stretches within these bounds that no neighbour has shown to repeat are looked up among all stretches
-around the same minimiser.
+any other suffix could still add. Stretches within these bounds that no neighbour has shown to repeat are looked up among each other
+and among one of each run of neighbours that share theirs.
 
 Words are compared by 48 bits of hash each, one by one, never windows of words by a single hash (but for the last look-up, by 128 bits).
 """
@@ -156,7 +156,8 @@ def _common_words(m: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) ->
     return np.minimum(differ.argmax(axis=1), n[i])
 
 
-_RESULT = f"{_SUFFIX}, lo1 int, hi1 int, lo2 int, hi2 int, on_right int, on_left int"
+SHARED = ["lo1", "hi1", "lo2", "hi2", "on_right", "on_left"]
+_RESULT = f"{_SUFFIX}, {', '.join(f'{c} int' for c in SHARED)}, lead boolean"
 _EDGE = "part int, seq long, right binary, left binary"
 
 
@@ -164,8 +165,8 @@ def _neighbours(length: int, longest: int, edges: bool):
     """Sorted suffixes -> what each shares with its nearest neighbours of other documents before and after it.
 
     Rows: (lo, hi), the distances to the left at which stretches begin that both have, for either neighbour (lo > hi: none), and the words in
-    common. With ``edges`` the first and last documents of a partition come along as they are, since some of their
-    neighbours are in other partitions.
+    common; ``lead``: it comes first among its document's adjacent rows, so that the row before has it as neighbour too. With ``edges`` the first
+    and last documents of a partition come along as they are, since some of their neighbours are in other partitions.
     """
 
     def compared(t: pa.Table, begin: np.ndarray, end: np.ndarray, first: int, last: int) -> dict:
@@ -198,7 +199,8 @@ def _neighbours(length: int, longest: int, edges: bool):
             own = t.slice(first, last - first)
             only = pa.array(np.arange(last - first), mask=~edge[first:last])  # of rows that aren't at an edge nothing is shown
             seq += last - first
-            columns = {c: own.column(c) for c in SUFFIX} | {c: pa.array(got[c].astype(np.int32)) for c in ("lo1", "hi1", "lo2", "hi2", "on_right", "on_left")}
+            columns = {c: own.column(c) for c in SUFFIX} | {c: pa.array(got[c].astype(np.int32)) for c in SHARED}
+            columns["lead"] = pa.array(begin[first:last] == np.arange(first, last))
             if edges:
                 columns |= {"part": pa.array(np.full(last - first, part, dtype=np.int32), mask=~edge[first:last]), "seq": pa.array(np.arange(seq - (last - first), seq))}
                 columns |= {c: own.column(c).combine_chunks().take(only) for c in ("right", "left")}
@@ -269,34 +271,46 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     longest = length - k
     found = []
     hot = F.broadcast(hot_keys(shared).select("key"))
-    for order in (["key", "right", "left"], ["key", "left", "right"]):
+    for side, order in (("right", ["key", "right", "left"]), ("left", ["key", "left", "right"])):
         whole = suffixes.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions(*order, *DOC, "cls")
         split = suffixes.join(hot, "key", "left_semi").repartitionByRange(*order, *DOC).sortWithinPartitions(*order, *DOC, "cls")
         with setting(docs.sparkSession, "spark.sql.execution.rangeExchange.sampleSizePerPartition", SAMPLE):  # of rows of some 500 bytes
             got = cut(split.select(*SUFFIX, "right", "left").mapInArrow(_neighbours(length, longest, True), f"{_RESULT}, {_EDGE}"))
         borders = got.where("part is not null").select(*SUFFIX, "right", "left", "part", "seq")
         across = borders.repartition(1).sortWithinPartitions("part", "seq").mapInArrow(_neighbours(length, longest, False), _RESULT)
-        found += [whole.select(*SUFFIX, "right", "left").mapInArrow(_neighbours(length, longest, False), _RESULT), got.drop("part", "seq", "right", "left"), across]
+        inner = whole.select(*SUFFIX, "right", "left").mapInArrow(_neighbours(length, longest, False), _RESULT)
+        found += [f.withColumn("side", F.lit(side)) for f in (inner, got.drop("part", "seq", "right", "left"), across)]
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
     span = lambda i: F.struct(F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi"))
+    spans = lambda found: F.array_distinct(F.flatten(F.collect_list(F.filter(found, lambda s: s["lo"] <= s["hi"]))))
+    before = lambda side: spans(F.when(F.col("lead") & (F.col("side") == side), F.array(span(1)))).alias(f"before_{side}")
     settled = cut(
         every.groupBy(*DOC, "cls", "low", "high", "key")
-        .agg(F.first("pos").alias("pos"), F.array_distinct(F.flatten(F.collect_list(F.filter(F.array(span(1), span(2)), lambda s: s["lo"] <= s["hi"])))).alias("spans"), F.max("on_right").alias("on_right"), F.max("on_left").alias("on_left"))
+        .agg(F.first("pos").alias("pos"), spans(F.array(span(1), span(2))).alias("spans"), before("right"), before("left"), F.max("on_right").alias("on_right"), F.max("on_left").alias("on_left"))
     )
+    inside = lambda l, found: F.exists(found, lambda s: (s["lo"] <= l) & (l <= s["hi"]))
     least, most = F.greatest("low", F.lit(length) - F.col("on_right")), F.least("high", "on_left")
-    unsure = F.filter(F.when(least <= most, F.sequence(least, most)), lambda l: ~F.exists("spans", lambda s: (s["lo"] <= l) & (l <= s["hi"])))
+    unsure = F.filter(F.when(least <= most, F.sequence(least, most)).otherwise(F.array().cast("array<int>")), lambda l: ~inside(l, "spans"))
     begins = settled.select(*DOC, F.explode("spans").alias("s"), "pos").select(*DOC, "s", F.explode("pos").alias("p")).select(*DOC, (F.col("p") - F.col("s.hi")).alias("a"), (F.col("p") - F.col("s.lo")).alias("b"))
 
     wanted = cut(settled.select("key", F.explode(unsure).alias("l")).distinct())
     if not wanted.isEmpty():
-        held = wanted.groupBy("key").agg(F.array_sort(F.collect_set("l")).alias("ls")).join(shared, "key")
-        around = meet(suffixes, cut(held), ["key"]).select(*DOC, "pos", "key", "right", "left", F.explode(F.filter("ls", lambda l: (l >= F.col("low")) & (l <= F.col("high")))).alias("l"))
+        held = cut(wanted.groupBy("key").agg(F.array_sort(F.collect_set("l")).alias("ls")).join(shared, "key"))
+        # Of stretches that are alike, those with a neighbour before, in the order by the side on which they have more words, needn't be looked up:
+        # the first of those that neighbours have settled has none, and it stands for all of them.
+        linked = lambda l: F.when(2 * l < length, inside(l, "before_right")).otherwise(inside(l, "before_left"))
+        first = F.filter("ls", lambda l: inside(l, "spans") & ~linked(l))
+        looked = meet(settled, held, ["key"]).select(*DOC, "cls", "pos", unsure.alias("unsure"), first.alias("first")).where((F.size("unsure") > 0) | (F.size("first") > 0)).alias("x")
+        sides = meet(suffixes, held, ["key"]).select(*DOC, "cls", "key", "right", "left").alias("y")
+        same = F.col("x.id").eqNullSafe(F.col("y.id")) & (F.col("x.t1") == F.col("y.t1")) & (F.col("x.t2") == F.col("y.t2")) & (F.col("x.cls") == F.col("y.cls"))
+        asked = lambda c, ask: F.transform(c, lambda l: F.struct(l.alias("l"), F.lit(ask).alias("ask")))
+        around = looked.join(sides, same).select(*(f"x.{c}" for c in DOC), "pos", "key", "right", "left", F.inline(F.concat(asked("unsure", True), asked("first", False))))
         words = F.substring(F.col("left"), F.lit(1), F.col("l") * BYTES), F.substring(F.col("right"), F.lit(1), (F.lit(length) - F.col("l")) * BYTES)
-        prints = cut(around.select(*DOC, "pos", "l", "key", F.xxhash64(F.lit(1), *words).alias("f1"), F.xxhash64(F.lit(2), *words).alias("f2")))
-        twins = cut(prints.groupBy("key", "l", "f1", "f2").agg(_in_two_documents().alias("two"), F.count("*").alias("held")).where("two").drop("two"))
-        more = meet(prints, twins, ["key", "l", "f1", "f2"])
+        prints = cut(around.select(*DOC, F.when(F.col("ask"), F.col("pos")).alias("pos"), "l", "ask", "key", F.xxhash64(F.lit(1), *words).alias("f1"), F.xxhash64(F.lit(2), *words).alias("f2")))
+        twins = cut(prints.groupBy("key", "l", "f1", "f2").agg((_in_two_documents() | F.bool_or(~F.col("ask"))).alias("two"), F.count_if("ask").alias("held")).where("two and held > 0").drop("two"))
+        more = meet(prints.where("ask"), twins, ["key", "l", "f1", "f2"])
         begins = begins.union(more.select(*DOC, "l", F.explode("pos").alias("p")).select(*DOC, (F.col("p") - F.col("l")).alias("a"), (F.col("p") - F.col("l")).alias("b")))
     alone = body.where("id is null").groupBy("t1", "t2").agg(F.count("*").alias("n"), F.first(F.regexp_count("body", F.lit(WORD))).alias("words")).where((F.col("n") > 1) & (F.col("words") >= length))
     begins = begins.union(alone.select(F.lit(None).cast("long"), "t1", "t2", F.lit(0), F.col("words") - length))

@@ -75,6 +75,33 @@ def test_near_copies_with_edits(spark, documents):
     assert sorted(map(tuple, got), key=str) == brute(rows)
 
 
+@pytest.mark.parametrize("hot", [1000, 5])
+def test_settled_stretches_are_looked_up_once_a_run(spark, documents, monkeypatch, hot):
+    """Near copies, some twice in a document, in two rows of an id or without one: only what neighbours leave open, and one of each run that they
+    have settled, is looked up, not every stretch of every document around the same minimiser (before: over 70 a document here)."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(140)]
+    rows = []
+    for i in range(300):
+        t = base * (1 + (i % 10 == 0))
+        for _ in range(rng.randrange(1, 5)):
+            t[rng.randrange(len(t))] = rng.choice(["x", "y", f"own{i}"])
+        rows.append((None if i % 13 == 0 else i // 2 if i % 3 == 0 else 1000 + i, " ".join(t)))
+    looked, real = [], D.cut
+
+    def cut(df, **kw):
+        out = real(df, **kw)
+        if {"f1", "pos"} <= set(df.columns):
+            looked.append(out.count())
+        return out
+
+    monkeypatch.setattr(D, "cut", cut)
+    monkeypatch.setattr(_common, "HOT_ROWS", hot)
+    got = D.repeated_passages(documents([(i, t, "s") for i, t in rows]).repartition(7)).select("doc_id", "start_word", "end_word", "n_words").collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+    assert 0 < sum(looked) < 20 * len(rows)
+
+
 def test_characters_and_copies(documents):
     text = "é " + " ".join(f"w{i}" for i in range(60)) + "\tend."
     rows = [(1, text), (2, text), (2, text), (3, "x " + text), (4, None), (5, ""), (None, text)]
