@@ -36,10 +36,21 @@ ROUTER = {"load": 0.18, "reward": 0.12, "priority": 0.30, "duplicate": 0.45, "pe
 
 
 def update_router(state: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """(kind, selections, reward_sum) after more (kind, reward) outcomes; rewards that are null or not finite don't count."""
+    """(kind, selections, reward_sum) after more (kind, reward) outcomes; rewards that are null or not finite don't count.
+
+    Sums don't depend on the order of rows: scores that are equal but for their last bit would change places between runs.
+    Rewards are integers of a unit for each 8 binary orders of magnitude, integers add up exactly, at most 264 units are left.
+    """
     fine = F.col("reward").isNotNull() & ~F.isnan("reward") & (F.abs("reward") < float("inf"))
     new = outcomes.where(fine).select("kind", F.lit(1).cast("long").alias("selections"), F.col("reward").cast("double").alias("reward_sum"))
-    return state.select("kind", F.col("selections").cast("long"), F.col("reward_sum").cast("double")).union(new).groupBy("kind").agg(F.sum("selections").alias("selections"), F.sum("reward_sum").alias("reward_sum"))
+    rows, x = state.select("kind", F.col("selections").cast("long"), F.col("reward_sum").cast("double")).union(new), F.col("reward_sum")
+    finite = F.abs(x) < float("inf")
+    power = F.when(finite, F.greatest(F.floor(F.log2(F.abs(x)) / 8), F.lit(-136)) * 8 - 53).otherwise(F.lit(0))
+    scaled = lambda v, n: v * F.pow(F.lit(2.0), F.floor(n / 2)) * F.pow(F.lit(2.0), n - F.floor(n / 2))  # noqa: E731  # in two steps, each within a double's range
+    part = F.when(finite, scaled(x, -F.col("power")).cast("long").cast("decimal(20,0)"))
+    units = rows.withColumn("power", power).groupBy("kind", "power").agg(F.sum("selections").alias("selections"), F.sum(part).alias("part"), F.sum(F.when(~finite, x)).alias("other"))
+    total = F.aggregate(F.array_sort(F.collect_list(F.struct("power", "part", "other"))), F.lit(0.0), lambda s, u: s + F.coalesce(scaled(u["part"].cast("double"), u["power"]), F.lit(0.0)) + F.coalesce(u["other"], F.lit(0.0)))
+    return units.groupBy("kind").agg(F.sum("selections").alias("selections"), total.alias("reward_sum"))
 
 
 def route_scores(actions: DataFrame, state: DataFrame | None = None) -> DataFrame:

@@ -67,9 +67,9 @@ def routed_plan(spark, sf):
     none = spark.createDataFrame([], "kind string, selections long, reward_sum double")
     state = planning.update_router(none, li.where("l_linenumber = 1").select(F.col("l_returnflag").alias("kind"), F.col("l_discount").alias("reward")))
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
-    rows = li.select(
+    rows = li.where("l_orderkey is not null").select(
         F.col("l_orderkey").alias("group_id"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", cents).alias("action_id"), F.col("l_returnflag").alias("kind"), (F.col("l_partkey") % 3).cast("string").alias("island"),
-        (F.col("l_discount") / (100 + F.col("l_quantity") * 20)).alias("utility"), F.col("l_tax").alias("criticality"), (100 + F.col("l_quantity") * 100).cast("long").alias("cost_ms"),
+        (F.col("l_discount") / (100 + F.col("l_quantity") * 20)).alias("utility"), F.col("l_tax").alias("criticality"), F.rint(100 + F.col("l_quantity") * 100).cast("long").alias("cost_ms"),
     )
     return planning.routed(rows, state, budget_ms=9_000, most=4).select("group_id", "action_id", "selected", "used_ms", F.col("step").cast("long").alias("step"), F.round("score", 6).alias("score"))
 
